@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import money, trunc_to_long
+from ledgerlens.session import shared_dir
 from ledgerlens.schema import (
     AMOUNT, KMEANS_K, KMEANS_RESTARTS, MODEL_SEED, PAYMENT, SEGMENT_NAMES, TS, TX_ID, USER_ID,
 )
@@ -53,35 +55,55 @@ def rfm_scaled(rfm_df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return rfm_df.withColumns(scaled)
 
 
+ROWS_PER_PARTITION = 500_000  # ~3 doubles per row: a few tens of MB per task
+
+
 def fit_segments(rfm_df: DataFrame, k: int = KMEANS_K, n_init: int = KMEANS_RESTARTS,
-                 seed: int = MODEL_SEED, max_iter: int = 300, parallelism: int = 4):
+                 seed: int = MODEL_SEED, max_iter: int = 300, parallelism: int | None = None):
     """K-Means on the scaled RFM vectors, ``n_init`` restarts (seeds
     ``seed … seed+n_init-1``), keeping the lowest training cost.
 
-    The vectors are persisted once; restarts are independent Spark jobs
-    submitted from a small thread pool so they share the cluster. Returns
+    The vectors are computed once, re-split to about ``ROWS_PER_PARTITION``
+    rows per partition (so 1,500 users are one task and a billion users a few
+    thousand) and persisted. Every K-Means iteration is a pass over them, so
+    the restarts are submitted together from a thread pool: their jobs overlap
+    on the cluster instead of queuing behind each other. Returns
     ``(model, frame with Cluster)``.
     """
     scaled = rfm_scaled(rfm_df)
     vec = VectorAssembler(inputCols=[f"{c}_scaled" for c in RFM_COLS], outputCol="features")
-    data = vec.transform(scaled).persist(StorageLevel.MEMORY_AND_DISK)
+    base = vec.transform(scaled).persist(StorageLevel.MEMORY_AND_DISK)
+    data = None
     try:
-        n_users = data.count()
+        n_users = base.count()
         if n_users < k:
             raise TooFewUsers(f"{n_users} users cannot form {k} clusters")
+        parts = max(1, -(-n_users // ROWS_PER_PARTITION))
+        data = (base.coalesce(parts) if parts < base.rdd.getNumPartitions() else base.repartition(parts))
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data.count()
+        base.unpersist()
 
         def run(s: int):
             m = KMeans(k=k, seed=s, maxIter=max_iter, initMode="k-means||", featuresCol="features",
                        predictionCol="Cluster").fit(data)
             return m.summary.trainingCost, s, m
 
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
+        workers = max(1, min(parallelism or n_init, n_init))
+        with ThreadPoolExecutor(max_workers=workers) as pool:
             results = list(pool.map(run, range(seed, seed + n_init)))
         best = min(results, key=lambda r: (r[0], r[1]))[2]
-        out = best.transform(data).drop("features")
-        return best, out.select(*rfm_df.columns, "Cluster")
+        # Assignments are written once to the shared checkpoint folder: later
+        # reports read one small table instead of re-running RFM, and the
+        # lineage back to the transactions is cut.
+        out = best.transform(data).select(*rfm_df.columns, "Cluster")
+        path = shared_dir(rfm_df.sparkSession, f"segments/{uuid.uuid4().hex}")
+        out.write.mode("overwrite").parquet(path)
+        return best, rfm_df.sparkSession.read.parquet(path)
     finally:
-        data.unpersist()
+        base.unpersist()
+        if data is not None:
+            data.unpersist()
 
 
 def name_segments(clustered: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def page_after(df: DataFrame, last_value, last_id: str, sort_by: str = TS, sort_
     if last_value is None:  # already inside the NULL tail
         after = c.isNull() & ((i > F.lit(last_id)) if asc else (i < F.lit(last_id)))
     else:
-        v = F.lit(last_value)
+        v = F.lit(last_value).cast(df.schema[col].dataType)
         beyond = (c > v) if asc else (c < v)
         same = (c == v) & ((i > F.lit(last_id)) if asc else (i < F.lit(last_id)))
         after = c.isNull() | beyond | same
