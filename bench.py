@@ -4,8 +4,12 @@ env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 
 The dashboard queries run over the cleaned transaction table persisted once
 (the reference also loads and cleans once, then serves every request from
-memory); loading + cleaning is timed as its own entry. Each query is fully
-executed through the ``noop`` sink, so nothing is collected to the driver.
+memory); loading + cleaning is timed as its own entry. The raw text view is
+read once and both cleaned forms derive from it. The test files hold one row
+group each (one scan task), so the loaded table is spread over the cores once,
+as a cluster's many input files would be; that shuffle is inside
+``load_clean``. Each query is fully executed through the ``noop`` sink, so
+nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark import StorageLevel  # noqa: E402
 
 from ledgerlens.operators import customers as U  # noqa: E402
+from ledgerlens.operators.clean import clean_fraud_input, clean_transactions  # noqa: E402
 from ledgerlens.operators import filters as FL  # noqa: E402
 from ledgerlens.operators import fraud as FR  # noqa: E402
 from ledgerlens.operators import listing as P  # noqa: E402
@@ -39,7 +44,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session(f"local[{cpus}]", app="ledgerlens-bench", shuffle_partitions=cpus * 2,
-                          extra={"spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+                          extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+                                 "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
 
@@ -51,10 +57,12 @@ def main() -> None:
     # warm-up: JVM, parquet footers, codegen caches
     run(fx.tx(spark, sf_dir).limit(1))
 
-    tx = fx.tx(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    txo = fx.tx_o(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    txf = fx.tx_fraud(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    timed("load_clean", lambda: (tx.count(), txo.count(), txf.count()))
+    parts = cpus * 2
+    raw = fx.tx_raw(spark, sf_dir).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    tx = clean_transactions(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    txf = clean_fraud_input(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    txo = fx.tx_o(spark, sf_dir).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    timed("load_clean", lambda: (tx.count(), txf.count(), txo.count(), raw.unpersist()))
 
     hanoi = FilterParams(location="Hà Nội")
     timed("summary", lambda: run(M.summary(tx)))

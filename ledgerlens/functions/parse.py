@@ -41,9 +41,8 @@ def parse_amount(c: str | Column, default: float = 0.0) -> Column:
 
 def parse_int(c: str | Column, default: int) -> Column:
     """Number text → int truncated toward zero; unparseable or missing → ``default``."""
-    n = parse_number(c)
-    as_int = F.when(F.abs(n) < F.lit(2.0 ** 31), n.cast("int"))
-    return F.coalesce(as_int, F.lit(int(default)))
+    # try_cast double→int truncates toward zero and gives NULL when out of range
+    return F.coalesce(parse_number(c).try_cast("int"), F.lit(int(default)))
 
 
 def parse_timestamp(c: str | Column, fmt: str = DEFAULT_TS_FORMAT) -> Column:

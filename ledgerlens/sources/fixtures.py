@@ -5,9 +5,9 @@
 * ``tx``     — ``tx_raw`` cleaned (C1-C8).
 * ``tx_o``   — clean multi-month rows built from ``orders``.
 
-Joins: ``events``/``orders`` ⋈ ``customer`` is a large equi-join (sort-merge,
-AQE splits hot keys); ``customer`` ⋈ ``nation`` ⋈ ``region`` is resolved first
-on the 25-row nation dimension so the big join carries only (key, city).
+Joins: ``events``/``orders`` ⋈ ``customer`` is the large equi-join (broadcast
+while customer is small, else sort-merge with AQE splitting hot keys); the city
+comes from the 25-row nation ⋈ region map, broadcast onto the joined rows.
 """
 
 from __future__ import annotations
@@ -53,21 +53,33 @@ def _case(c: Column, mapping: dict, other: str) -> Column:
     return expr.otherwise(other)
 
 
-def customer_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(c_custkey, city): customer joined to its nation's region city."""
+def nation_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_nationkey, city): 25 rows, the region name mapped to a city."""
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    city = (nation.join(region, nation.n_regionkey == region.r_regionkey)
+    return (nation.join(region, nation.n_regionkey == region.r_regionkey)
             .select("n_nationkey", _case(F.col("r_name"), REGION_CITY, OTHER_REGION_CITY).alias("city")))
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return cust.join(city, cust.c_nationkey == city.n_nationkey).drop("n_nationkey", "c_nationkey")
+
+
+def with_city(facts: DataFrame, key: str, spark: SparkSession, sf_dir: str,
+              customer_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Attach the customer's city to fact rows keyed by customer ``key``.
+
+    Facts join ``customer`` first (one row per customer: the dimension is the
+    build side — broadcast while small, else a sort-merge join whose hot keys
+    AQE splits), then the 25-row nation→city map, which is always broadcast.
+    Joining customer to nation first would hide the customer table's size
+    behind a join estimate and can flip the build side onto the fact table.
+    """
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", *customer_cols)
+    j = facts.join(cust, facts[key] == cust.c_custkey)
+    city = F.broadcast(nation_city(spark, sf_dir))
+    return j.join(city, j.c_nationkey == city.n_nationkey).drop("n_nationkey", "c_nationkey")
 
 
 def tx_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty text rows, one per event (see module doc)."""
-    ev = read_table(spark, sf_dir, "events")
-    cc = customer_city(spark, sf_dir).select("c_custkey", "city")
-    j = ev.join(cc, ev.user_id == cc.c_custkey)
+    j = with_city(read_table(spark, sf_dir, "events"), "user_id", spark, sf_dir)
     eid, value, ts = F.col("event_id"), F.col("value"), F.col("ts")
     k = F.get_json_object("props", "$.k").cast("int")
     payment = F.when(k % 4 == 0, PAYMENT_BY_K[0]).when(k % 4 == 1, PAYMENT_BY_K[1]) \
@@ -105,9 +117,7 @@ def tx_fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tx_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean multi-month transactions, one per order."""
-    orders = read_table(spark, sf_dir, "orders")
-    cc = customer_city(spark, sf_dir)
-    j = orders.join(cc, orders.o_custkey == cc.c_custkey)
+    j = with_city(read_table(spark, sf_dir, "orders"), "o_custkey", spark, sf_dir, ("c_mktsegment",))
     return j.select(
         F.col("o_orderkey").cast("string").alias(TX_ID),
         F.col("o_custkey").cast("string").alias(USER_ID),
