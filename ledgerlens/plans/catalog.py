@@ -489,16 +489,20 @@ def u1e(spark, sf):
     return U.rfm(fx.tx(spark, sf))
 
 
+# Scaled values depend on floating mean / std aggregates whose summation order
+# differs between engines (last-bit differences), so both sides present them
+# rounded to 9 decimals.
 def _scaled_sql(c: str) -> str:
-    return (f"case when (select stddev_pop({c}) from rfm) = 0 then 0.0 else "
-            f"({c} - (select avg({c}) from rfm)) / (select stddev_pop({c}) from rfm) end as {c}_scaled")
+    return (f"round(case when (select stddev_pop({c}) from rfm) = 0 then 0.0 else "
+            f"({c} - (select avg({c}) from rfm)) / (select stddev_pop({c}) from rfm) end, 9) as {c}_scaled")
 
 
 @q("u2_rfm_scaled", with_views(
     "select User_ID, " + ", ".join(_scaled_sql(c) for c in U.RFM_COLS) + " from rfm",
     "tx_o", extra=[_rfm_sql("tx_o")]))
 def u2(spark, sf):
-    return U.rfm_scaled(U.rfm(fx.tx_o(spark, sf))).select(USER_ID, *[f"{c}_scaled" for c in U.RFM_COLS])
+    out = U.rfm_scaled(U.rfm(fx.tx_o(spark, sf)))
+    return out.select(USER_ID, *[F.round(f"{c}_scaled", 9).alias(f"{c}_scaled") for c in U.RFM_COLS])
 
 
 def _segments(spark, sf):
@@ -571,11 +575,12 @@ def e1(spark, sf):
 
 
 @q("e2_amount_scaled", with_views(
-    "select Transaction_ID, (Amount_VND - (select avg(Amount_VND) from tx)) / "
-    "(select case when stddev_pop(Amount_VND) = 0 then 1.0 else stddev_pop(Amount_VND) end from tx) "
+    "select Transaction_ID, round((Amount_VND - (select avg(Amount_VND) from tx)) / "
+    "(select case when stddev_pop(Amount_VND) = 0 then 1.0 else stddev_pop(Amount_VND) end from tx), 9) "
     "as amount_scaled from tx", "tx"))
 def e2(spark, sf):
-    return E.scaled_column(fx.tx(spark, sf), AMOUNT, "amount_scaled").select(TX_ID, "amount_scaled")
+    out = E.scaled_column(fx.tx(spark, sf), AMOUNT, "amount_scaled")
+    return out.select(TX_ID, F.round("amount_scaled", 9).alias("amount_scaled"))
 
 
 @q("e3_one_hot_payment", with_views(
