@@ -48,8 +48,10 @@ def parse_int(c: str | Column, default: int) -> Column:
 def parse_timestamp(c: str | Column, fmt: str = DEFAULT_TS_FORMAT) -> Column:
     """Text → ``timestamp_ntz`` with an explicit pattern; bad text → NULL.
 
-    ``try_to_timestamp`` parses in the session time zone and the cast back to
-    NTZ uses the same zone, so the wall-clock value is preserved.
+    ``to_timestamp_ntz`` reads the wall-clock value with no time zone involved
+    (a zoned parse would move times inside a daylight-saving gap), but raises
+    on bad text under ANSI mode, so ``try_to_timestamp`` guards it.
     """
     c = _col(c).cast("string")
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    f = F.lit(fmt)
+    return F.when(F.try_to_timestamp(c, f).isNotNull(), F.to_timestamp_ntz(c, f))

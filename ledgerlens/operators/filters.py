@@ -30,30 +30,29 @@ def apply_filters(df: DataFrame, params: FilterParams | None) -> DataFrame:
     return df.where(filter_predicate(params))
 
 
-def filter_values(df: DataFrame) -> DataFrame:
-    """sorted distinct non-null values of location, payment and category.
-
-    One job: per-column ``collect_set`` partial aggregates (bounded by each
-    column's cardinality, which is small for these dimension columns) merged
-    and sorted by code point.
-    """
-    return df.agg(
-        F.array_sort(F.collect_set(F.col(LOCATION).cast("string"))).alias("locations"),
-        F.array_sort(F.collect_set(F.col(PAYMENT).cast("string"))).alias("payment_methods"),
-        F.array_sort(F.collect_set(F.col(CATEGORY).cast("string"))).alias("merchant_categories"),
-    )
+FILTER_FIELDS = (("locations", LOCATION), ("payment_methods", PAYMENT), ("merchant_categories", CATEGORY))
 
 
 def filter_values_long(df: DataFrame) -> DataFrame:
-    """F5 in long form ``(field, value)``: distinct via a grouped shuffle, for
-    dimensions too wide for an array in one row."""
+    """F5 in long form ``(field, value)``: the distinct happens in a grouped
+    shuffle (partially deduplicated in every task), so no single task ever
+    sees more than its share of the values."""
     parts = [df.select(F.lit(name).alias("field"), F.col(c).cast("string").alias("value"))
-             for name, c in (("location", LOCATION), ("payment_method", PAYMENT),
-                             ("merchant_category", CATEGORY))]
+             for name, c in FILTER_FIELDS]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return u.where(F.col("value").isNotNull()).distinct()
 
 
+def filter_values(df: DataFrame) -> DataFrame:
+    """sorted distinct non-null values of location, payment and category in
+    one row of arrays (code-point order). Values are deduplicated by the
+    distributed distinct first; only the final lists — the requested output —
+    are gathered."""
+    long = filter_values_long(df)
+    return long.agg(*[F.array_sort(F.collect_list(F.when(F.col("field") == name, F.col("value"))))
+                      .alias(name) for name, _ in FILTER_FIELDS])
+
+
 def search(df: DataFrame, keyword: str, regex: bool = True) -> DataFrame:
     """case-folded match of ``keyword`` against id, user and category.
 

@@ -114,3 +114,22 @@ def test_with_default(spark):
     assert C.with_default(df).first().Risk_Score == 0
     df2 = spark.createDataFrame([("a", "7"), ("b", None)], "x string, Risk_Score string")
     assert [r.Risk_Score for r in C.with_default(df2).collect()] == [7, 0]
+
+
+def test_timestamp_ignores_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        r = _col(spark, ["2024-03-31 02:30:00"]).select(parse_timestamp("x").alias("t")).first()
+        assert (r.t.hour, r.t.minute) == (2, 30)  # inside the DST gap: wall clock kept
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.floats(-1e12, 1e12, allow_nan=False), min_size=1, max_size=30), st.floats(0, 1e6))
+def test_clip_bounds_property(spark, xs, upper):
+    df = _col(spark, xs, AMOUNT, "double")
+    out = [r[AMOUNT] for r in C.clip_amount(df, upper).collect()]
+    assert all(0.0 <= v <= upper for v in out)
+    assert out == [min(max(x, 0.0), upper) for x in xs]

@@ -40,7 +40,7 @@ def test_filter_values(spark):
     assert r.locations == ["Hà Nội", "TP.HCM"]
     assert r.payment_methods == ["QR", "Ví điện tử"]
     long = {(x.field, x.value) for x in FL.filter_values_long(_tx(spark, _rows())).collect()}
-    assert ("location", "TP.HCM") in long and len(long) == 7
+    assert ("locations", "TP.HCM") in long and len(long) == 7
 
 
 def test_search(spark):
