@@ -29,38 +29,38 @@ def _top_label(label: Column, measure: Column, cond: Column) -> Column:
 # ---------------------------------------------------------------------------
 # A1-A9 headline summary
 # ---------------------------------------------------------------------------
+# grouping_id bit patterns over (loc, cat, hr, day, mon, uid); a 1 bit = not grouped
+_GID_ALL, _GID_LOC, _GID_CAT, _GID_HR, _GID_DAY_USER, _GID_MON_USER = 63, 31, 47, 55, 58, 60
+
+
 def summary(df: DataFrame) -> DataFrame:
     """One row: total_gmv, total_transactions, fraud_rate, top_city, top_category,
     peak_hour, active_users_daily_avg, active_users_monthly_avg.
 
-    Two scans of the input, each a single grouping-sets aggregate:
-    ``((), (location), (category), (hour))`` for the sums and counts, and
-    ``((day), (month))`` with distinct users (deduplicated per task first).
-    Their small outputs are unioned and folded into one row by a global
-    aggregate, which also makes an empty input give the zero row (A9).
+    One scan: a grouping-sets aggregate over ``(), (location), (category),
+    (hour), (day, user), (month, user)`` — every set partially aggregated in
+    each task. A second aggregate turns the ``(day, user)`` / ``(month, user)``
+    rows into distinct-user counts, and a global fold picks the totals and the
+    top labels; the global fold also makes an empty input give the zero row (A9).
     """
     d = df.select(money(AMOUNT).alias("amt"), F.col(FRAUD).alias("fraud"),
                   F.col(LOCATION).cast("string").alias("loc"),
                   F.col(CATEGORY).cast("string").alias("cat"),
-                  F.hour(TS).alias("hr"), F.col(USER_ID).alias("uid"),
-                  F.to_date(TS).alias("day"), F.date_format(TS, "yyyy-MM").alias("mon"))
-    sums = (d.groupingSets([[], ["loc"], ["cat"], ["hr"]], "loc", "cat", "hr")
-            .agg(F.grouping_id().alias("gid"), F.sum("amt").alias("amt"),
-                 F.count(F.lit(1)).alias("n"), F.sum("fraud").alias("fraud")))
-    # grouping_id bits follow (loc, cat, hr): 7 = (), 3 = loc, 5 = cat, 6 = hr
-    sums = sums.select(
-        F.when(F.col("gid") == 7, "all").when(F.col("gid") == 3, "loc")
-         .when(F.col("gid") == 5, "cat").otherwise("hr").alias("kind"),
-        F.coalesce("loc", "cat", F.col("hr").cast("string")).alias("key"),
-        "amt", "n", "fraud", F.lit(None).cast("long").alias("users"))
-    users = (d.groupingSets([["day"], ["mon"]], "day", "mon")
-             .agg(F.grouping_id().alias("gid"), F.countDistinct("uid").alias("users")))
-    users = users.select(
-        F.when(F.col("gid") == 1, "day").otherwise("mon").alias("kind"),
-        F.coalesce(F.col("day").cast("string"), "mon").alias("key"),
-        F.lit(None).cast(sums.schema["amt"].dataType).alias("amt"),
-        F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("fraud"), "users")
-    u = sums.unionByName(users)
+                  F.hour(TS).alias("hr"), F.to_date(TS).alias("day"),
+                  F.date_format(TS, "yyyy-MM").alias("mon"), F.col(USER_ID).alias("uid"))
+    g = (d.groupingSets([[], ["loc"], ["cat"], ["hr"], ["day", "uid"], ["mon", "uid"]],
+                        "loc", "cat", "hr", "day", "mon", "uid")
+         .agg(F.grouping_id().alias("gid"), F.sum("amt").alias("amt"),
+              F.count(F.lit(1)).alias("n"), F.sum("fraud").alias("fraud")))
+    gid = F.col("gid")
+    per_user = gid.isin(_GID_DAY_USER, _GID_MON_USER)
+    g = g.where(~per_user | F.col("uid").isNotNull())   # a missing user id is not a user
+    kind = (F.when(gid == _GID_ALL, "all").when(gid == _GID_LOC, "loc").when(gid == _GID_CAT, "cat")
+            .when(gid == _GID_HR, "hr").when(gid == _GID_DAY_USER, "day").otherwise("mon"))
+    key = F.coalesce("loc", "cat", F.col("hr").cast("string"), F.col("day").cast("string"), "mon")
+    u = (g.groupBy(kind.alias("kind"), key.alias("key"))
+         .agg(F.sum("amt").alias("amt"), F.sum("n").alias("n"), F.sum("fraud").alias("fraud"),
+              F.count(F.lit(1)).alias("users")))
     kind, key = F.col("kind"), F.col("key")
     total_n = F.sum(F.when(kind == "all", F.col("n")))
     total_f = F.sum(F.when(kind == "all", F.col("fraud")))
