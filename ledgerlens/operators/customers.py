@@ -36,8 +36,10 @@ def rfm(df: DataFrame) -> DataFrame:
     g = (df.where(F.col(USER_ID).isNotNull()).groupBy(USER_ID)
          .agg(F.max(TS).alias("last"), F.count(TX_ID).alias("Frequency"),
               F.sum(money(AMOUNT)).cast("double").alias("Monetary")))
-    return g.select(USER_ID, F.timestamp_diff("DAY", F.col("last"), ref).alias("Recency"),
-                    "Frequency", "Monetary")
+    # NTZ minus NTZ is a day-time interval computed without any time zone;
+    # its DAY field is the count of whole 24-hour days.
+    recency = F.extract(F.lit("DAY"), ref - F.col("last")).cast("bigint")
+    return g.select(USER_ID, recency.alias("Recency"), "Frequency", "Monetary")
 
 
 def rfm_scaled(rfm_df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -70,12 +72,15 @@ def fit_segments(rfm_df: DataFrame, k: int = KMEANS_K, n_init: int = KMEANS_REST
     on the cluster instead of queuing behind each other. Returns
     ``(model, frame with Cluster)``.
     """
-    scaled = rfm_scaled(rfm_df)
+    # RFM is read twice (statistics subquery + vectors): cache it for that one action.
+    rfm_cached = rfm_df.persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = rfm_scaled(rfm_cached)
     vec = VectorAssembler(inputCols=[f"{c}_scaled" for c in RFM_COLS], outputCol="features")
     base = vec.transform(scaled).persist(StorageLevel.MEMORY_AND_DISK)
     data = None
     try:
         n_users = base.count()
+        rfm_cached.unpersist()
         if n_users < k:
             raise TooFewUsers(f"{n_users} users cannot form {k} clusters")
         parts = max(1, -(-n_users // ROWS_PER_PARTITION))
@@ -107,6 +112,7 @@ def fit_segments(rfm_df: DataFrame, k: int = KMEANS_K, n_init: int = KMEANS_REST
         out.write.mode("overwrite").parquet(path)
         return best, rfm_df.sparkSession.read.parquet(path)
     finally:
+        rfm_cached.unpersist()
         base.unpersist()
         if data is not None:
             data.unpersist()

@@ -60,3 +60,17 @@ def test_preferred_payment_and_top_users(spark):
     assert pref == {"A": "QR", "B": "Card"}   # tie 1-1 → smallest name
     top = U.top_users(U.rfm(df), df, 2).collect()
     assert [(r.user_id, r.total_spend, r.transaction_count) for r in top] == [("A", 15, 3), ("B", 2, 2)]
+
+
+def test_recency_ignores_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        rows = [("T1", "A", 1.0, dt.datetime(2024, 3, 29, 2, 30), "QR"),
+                ("T2", "B", 1.0, dt.datetime(2024, 4, 1, 2, 0), "QR")]
+        df = spark.createDataFrame(rows, SCHEMA)
+        r = {x.User_ID: x.Recency for x in U.rfm(df).collect()}
+        # reference 2024-04-02 02:00 (wall clock); A: 3 days 23.5 h → 3
+        assert r == {"A": 3, "B": 1}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

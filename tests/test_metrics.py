@@ -119,3 +119,11 @@ def test_geo(spark):
     prov = spark.createDataFrame([("Thành phố Hà Nội",), ("Thành phố Hồ Chí Minh",), ("Tỉnh Khánh Hòa",)], "province string")
     cls = {r.province: (r.value, r.fill_class) for r in G.map_classes(sales, prov).collect()}
     assert cls == {"Thành phố Hà Nội": (100.0, 4), "Thành phố Hồ Chí Minh": (50.0, 2), "Tỉnh Khánh Hòa": (0.0, 0)}
+
+
+def test_summary_missing_user_is_not_a_user(spark):
+    rows = [_row(1, 1, MON, user="U1"), (f"T2", None, 1.0, MON, "QR", "Mua sắm", "A", 0),
+            _row(3, 1, MON + dt.timedelta(days=40), user="U1")]
+    r = M.summary(_tx(spark, rows)).first()
+    assert r.active_users_daily_avg == 1.0 and r.active_users_monthly_avg == 1.0
+    assert r.total_transactions == 3
