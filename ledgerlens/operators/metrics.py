@@ -53,14 +53,13 @@ def summary(df: DataFrame) -> DataFrame:
          .agg(F.grouping_id().alias("gid"), F.sum("amt").alias("amt"),
               F.count(F.lit(1)).alias("n"), F.sum("fraud").alias("fraud")))
     gid = F.col("gid")
-    per_user = gid.isin(_GID_DAY_USER, _GID_MON_USER)
-    g = g.where(~per_user | F.col("uid").isNotNull())   # a missing user id is not a user
     kind = (F.when(gid == _GID_ALL, "all").when(gid == _GID_LOC, "loc").when(gid == _GID_CAT, "cat")
             .when(gid == _GID_HR, "hr").when(gid == _GID_DAY_USER, "day").otherwise("mon"))
     key = F.coalesce("loc", "cat", F.col("hr").cast("string"), F.col("day").cast("string"), "mon")
     u = (g.groupBy(kind.alias("kind"), key.alias("key"))
          .agg(F.sum("amt").alias("amt"), F.sum("n").alias("n"), F.sum("fraud").alias("fraud"),
-              F.count(F.lit(1)).alias("users")))
+              # a day whose rows all lack a user id still counts, with 0 users
+              F.count("uid").alias("users")))
     kind, key = F.col("kind"), F.col("key")
     total_n = F.sum(F.when(kind == "all", F.col("n")))
     total_f = F.sum(F.when(kind == "all", F.col("fraud")))

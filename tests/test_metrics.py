@@ -127,3 +127,9 @@ def test_summary_missing_user_is_not_a_user(spark):
     r = M.summary(_tx(spark, rows)).first()
     assert r.active_users_daily_avg == 1.0 and r.active_users_monthly_avg == 1.0
     assert r.total_transactions == 3
+
+
+def test_day_without_user_ids_counts_as_zero(spark):
+    rows = [_row(1, 1, MON, user="U1"), ("T2", None, 1.0, MON + dt.timedelta(days=1), "QR", "Mua sắm", "A", 0)]
+    r = M.summary(_tx(spark, rows)).first()
+    assert r.active_users_daily_avg == 0.5   # (1 + 0) / 2, as the reference's nunique-then-mean gives
