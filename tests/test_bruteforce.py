@@ -91,3 +91,60 @@ def test_rfm_matches_bruteforce(spark, items):
         assert got[uid].Recency == (ref - w["last"]).days
         assert got[uid].Frequency == w["f"]
         assert math.isclose(got[uid].Monetary, _money(w["m"]), abs_tol=1e-6)
+
+
+@settings(max_examples=10, deadline=None, phases=[Phase.explicit, Phase.generate])
+@given(st.lists(row, min_size=1, max_size=40))
+def test_time_breakdowns_insights_mode_match_bruteforce(spark, items):
+    from ledgerlens.operators.forecast import baseline_forecast
+    from ledgerlens.schema import INSIGHT_WEEKEND, WEEKDAY_LABELS
+
+    df, pdf = _frames(spark, items)
+    wd = {x.weekday_no: (x.label, x.value) for x in M.count_by_weekday(df).collect()}
+    for k, n in pdf.groupby(pdf.Timestamp.dt.dayofweek).Transaction_ID.count().items():
+        assert wd[k] == (WEEKDAY_LABELS[k], n)
+    hr = {x.label: x.value for x in M.amount_by_hour(df).collect()}
+    for k, v in pdf.groupby(pdf.Timestamp.dt.hour).Amount_VND.sum().items():
+        assert math.isclose(hr[k], _money(v), abs_tol=1e-6)
+    trend = pdf.groupby(pdf.Timestamp.dt.to_period("M")).Amount_VND.sum().round(2)
+    vals = list(trend.values)
+    want_fc = [v if i < 2 else math.floor((vals[i - 1] + vals[i - 2]) / 2 + 0.5) for i, v in enumerate(vals)]
+    got = baseline_forecast(M.trend(df, "month")).orderBy("period").collect()
+    assert [x.period for x in got] == [str(p) for p in trend.index]
+    assert all(math.isclose(x.forecast, w, abs_tol=1e-6) for x, w in zip(got, want_fc))
+    texts = [x.text for x in M.insights(df).orderBy("seq").collect()]
+    wk = pdf[pdf.Timestamp.dt.dayofweek >= 5].Amount_VND.sum()
+    wdy = pdf[pdf.Timestamp.dt.dayofweek < 5].Amount_VND.sum()
+    assert (INSIGHT_WEEKEND in texts) == (round(wk, 2) > round(wdy, 2) * 0.5)
+    sub = pdf.dropna(subset=["User_ID", "Payment_Method"])
+    cnt = sub.groupby(["User_ID", "Payment_Method"]).size().reset_index(name="n")
+    want = {u: sorted(g.itertuples(), key=lambda r: (-r.n, r.Payment_Method))[0].Payment_Method
+            for u, g in cnt.groupby("User_ID")}
+    got = {x.User_ID: x.preferred_payment_method for x in U.preferred_payment(df).collect()}
+    assert got == want
+
+
+@settings(max_examples=10, deadline=None, phases=[Phase.explicit, Phase.generate])
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2)), min_size=1, max_size=50))
+def test_weighted_metrics_match_bruteforce(spark, pairs):
+    from ledgerlens.operators.fraud import classification_metrics
+
+    df = spark.createDataFrame(pairs, "Is_Fraud int, prediction int")
+    m = classification_metrics(df).first()
+    labels = sorted({y for y, _ in pairs} | {p for _, p in pairs})
+    n = len(pairs)
+    prec = rec = f1 = 0.0
+    for c in labels:
+        tp = sum(1 for y, p in pairs if y == c and p == c)
+        sup = sum(1 for y, _ in pairs if y == c)
+        pred = sum(1 for _, p in pairs if p == c)
+        pc = tp / pred if pred else 0.0
+        rc = tp / sup if sup else 0.0
+        fc = 2 * pc * rc / (pc + rc) if pc + rc else 0.0
+        prec += sup * pc / n
+        rec += sup * rc / n
+        f1 += sup * fc / n
+    assert math.isclose(m.accuracy, sum(1 for y, p in pairs if y == p) / n)
+    assert math.isclose(m.precision, prec, abs_tol=1e-12)
+    assert math.isclose(m.recall, rec, abs_tol=1e-12)
+    assert math.isclose(m.f1_score, f1, abs_tol=1e-12)
