@@ -28,3 +28,36 @@ def test_segmentation_page_plan(spark):
     assert p["segments"].count() == fx.tx_o(spark, SF001).select("User_ID").distinct().count()
     f = p["forecast"].orderBy("period").collect()
     assert f[0].forecast == f[0].value
+
+
+def test_service_facade(spark, tmpdir_path):
+    import os
+
+    from ledgerlens.plans.registry import ModelNotTrained
+    from ledgerlens.plans.service import AnalyticsService
+    from ledgerlens.sources.csv import write_transactions_csv
+
+    from conftest import SF01
+
+    path = os.path.join(tmpdir_path, "tx.csv")
+    write_transactions_csv(fx.tx_raw(spark, SF01), path)
+    svc = AnalyticsService(spark, path)
+    assert svc.summary().first().total_transactions == 9896
+    assert svc.transactions(FilterParams(location="Hà Nội"), page_size=5)["rows"].count() == 5
+    try:
+        svc.predict(spark.createDataFrame([(1.0,)], "Amount_VND double"))
+        raise AssertionError("expected ModelNotTrained")
+    except ModelNotTrained:
+        pass
+    m = svc.train("decision_tree").first()
+    assert m.accuracy > 0.98
+    req = spark.createDataFrame([(5_500_000.0, 2, 1, "Ví điện tử", "Mua sắm", "TP.HCM"),
+                                 (450_000.0, 14, 0, "Chuyển khoản", "Ăn uống", "Hà Nội")],
+                                "Amount_VND double, Hour int, Is_Weekend int, Payment_Method string, "
+                                "Merchant_Category string, Location string")
+    out = svc.predict(req).collect()
+    assert len(out) == 2 and all(len(r.rules) >= 1 for r in out)
+    assert out[0].is_fraud_pred == 1 and out[1].is_fraud_pred == 0
+    old_registry = svc.registry.root
+    svc.change_dataset(path)
+    assert svc.registry.root != old_registry and not svc.registry.is_trained("decision_tree")
