@@ -185,6 +185,13 @@ def f5(spark, sf):
     return FL.filter_values(fx.tx(spark, sf))
 
 
+@q("f5_filter_values_long", with_views(
+    " union ".join(f"select '{name}' as field, cast({col} as varchar) as value from tx where {col} is not null"
+                   for name, col in FL.FILTER_FIELDS), "tx"))
+def f5l(spark, sf):
+    return FL.filter_values_long(fx.tx(spark, sf))
+
+
 @q("f6_keyword_search", with_views(
     "select * from tx where regexp_matches(lower(Transaction_ID), 'u1.') "
     "or regexp_matches(lower(User_ID), 'u1.') or regexp_matches(lower(Merchant_Category), 'u1.')", "tx"))
