@@ -404,7 +404,7 @@ def b14(spark, sf):
 # ---------------------------------------------------------------------------
 # I1-I3 insights
 # ---------------------------------------------------------------------------
-_INSIGHT_BODY = """select cast(row_number() over (order by k) as bigint) as seq, text from (
+_INSIGHT_BODY = """select cast(row_number() over (order by k) as integer) as seq, text from (
   select 1 as k, 'Không có dữ liệu cho bộ lọc hiện tại.' as text from s where n = 0
   union all select 2, 'Người dùng có xu hướng chi tiêu mạnh vào cuối tuần.' from s where n > 0 and wkend > wkday * 0.5
   union all select 3, 'Khung giờ hoạt động cao nhất là ' || cast(peak as varchar) || ':00 - '
