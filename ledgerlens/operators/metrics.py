@@ -178,14 +178,16 @@ def count_by_weekday(df: DataFrame) -> DataFrame:
 def category_flows(df: DataFrame, min_share: float = FLOW_MIN_SHARE) -> DataFrame:
     """Payment → category amounts, keeping flows ≥ ``min_share`` of the total.
 
-    The total is a scalar subquery over the grouped flows (a handful of rows),
-    evaluated once and inlined as a literal.
+    One scan: the total is a window sum over the grouped flows — one row per
+    (payment, category) pair, a dimension-sized frame — so the table is not
+    read a second time for it.
     """
     g = (df.where(F.col(PAYMENT).isNotNull() & F.col(CATEGORY).isNotNull())
          .groupBy(F.col(PAYMENT).cast("string").alias("from"), F.col(CATEGORY).cast("string").alias("to"))
          .agg(F.sum(money(AMOUNT)).alias("v")))
-    total = g.agg(F.sum("v")).scalar()
-    return (g.where(F.col("v") >= total * F.lit(min_share).cast("decimal(4,3)"))
+    total = F.sum("v").over(Window.partitionBy())
+    return (g.withColumn("total", total)
+            .where(F.col("v") >= F.col("total") * F.lit(min_share).cast("decimal(4,3)"))
             .select("from", "to", F.col("v").cast("double").alias("value")))
 
 
