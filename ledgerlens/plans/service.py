@@ -25,9 +25,15 @@ from ledgerlens.sources.dataset import Dataset, open_dataset
 class AnalyticsService:
     """Dashboard, listing, segmentation and fraud requests over one dataset."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, materialize: bool = False):
+        """``materialize=True`` parses the source once into month-partitioned
+        parquet under the shared checkpoint folder; later requests then read
+        only the columns and months they need."""
         self.spark = spark
+        self.materialize = materialize
         self.dataset: Dataset = open_dataset(spark, path)
+        if materialize:
+            self.dataset.materialize()
         self.registry = ModelRegistry(spark, self.dataset.registry_path())
         self._segments: DataFrame | None = None
 
@@ -35,6 +41,8 @@ class AnalyticsService:
     def change_dataset(self, path: str) -> None:
         """Switch files: cached data, fitted segments and trained models are dropped."""
         self.dataset = open_dataset(self.spark, path, previous=self.dataset)
+        if self.materialize:
+            self.dataset.materialize()
         self.registry = ModelRegistry(self.spark, self.dataset.registry_path())
         self._segments = None
 

@@ -61,3 +61,18 @@ def test_service_facade(spark, tmpdir_path):
     old_registry = svc.registry.root
     svc.change_dataset(path)
     assert svc.registry.root != old_registry and not svc.registry.is_trained("decision_tree")
+
+
+def test_service_materialized(spark, tmpdir_path):
+    import os
+
+    from ledgerlens.plans.service import AnalyticsService
+    from ledgerlens.sources.csv import write_transactions_csv
+
+    path = os.path.join(tmpdir_path, "small.csv")
+    write_transactions_csv(fx.tx_raw(spark, SF001), path)
+    svc = AnalyticsService(spark, path, materialize=True)
+    n = svc.summary().first().total_transactions
+    assert n == fx.tx(spark, SF001).count()
+    plan = svc.summary(FilterParams(location="Hà Nội"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(Location), EqualTo(Location" in plan
