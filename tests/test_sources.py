@@ -67,3 +67,10 @@ def test_registry(spark, tmpdir_path):
     assert isinstance(reg2.model("decision_tree"), FraudModel)
     with pytest.raises(ValueError):
         reg2.set_active("svm")
+
+
+def test_latest_n_missing_column_is_clear(spark):
+    from ledgerlens.sources.tables import TableMissing
+
+    with pytest.raises(TableMissing):
+        latest_n(fx.tx(spark, SF001), "transaction_time", 10)
