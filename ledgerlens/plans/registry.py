@@ -8,7 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.operators.fraud import KINDS, FraudModel, evaluate, fit_fraud_model
+from ledgerlens.operators.fraud import (
+    KINDS, FraudModel, confusion, evaluate, fit_fraud_model, test_predictions,
+)
 
 
 class ModelNotTrained(RuntimeError):
@@ -37,6 +39,7 @@ class ModelRegistry:
         model.model.write().overwrite().save(self._path(kind, "model"))
         model.classifier.write().overwrite().save(self._path(kind, "classifier"))
         metrics = evaluate(model, df)
+        confusion(test_predictions(model, df)).write.mode("overwrite").parquet(self._path(kind, "confusion"))
         metrics.write.mode("overwrite").parquet(self._path(kind, "metrics"))
         self._cache[kind] = model
         return self.metrics(kind)
@@ -68,6 +71,12 @@ class ModelRegistry:
             raise ModelNotTrained(f"model {kind!r} is not trained for this dataset")
         return self.spark.read.parquet(self._path(kind, "metrics"))
 
+    def confusion(self, kind: str) -> DataFrame:
+        """Held-out confusion counts ``(label, prediction, count)``, rows = truth."""
+        if not self.is_trained(kind):
+            raise ModelNotTrained(f"model {kind!r} is not trained for this dataset")
+        return self.spark.read.parquet(self._path(kind, "confusion"))
+
     def set_active(self, kind: str) -> None:
         if kind not in KINDS:
             raise ValueError(f"unknown model kind {kind!r}")

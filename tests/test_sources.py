@@ -65,6 +65,8 @@ def test_registry(spark, tmpdir_path):
     reg2 = ModelRegistry(spark, os.path.join(tmpdir_path, "models"))
     assert reg2.is_trained("decision_tree") and not reg2.is_trained("random_forest")
     assert isinstance(reg2.model("decision_tree"), FraudModel)
+    cm = {(r.label, r.prediction): r["count"] for r in reg2.confusion("decision_tree").collect()}
+    assert len(cm) == 4 and cm[(0, 0)] > 0 and cm[(1, 1)] > 0
     with pytest.raises(ValueError):
         reg2.set_active("svm")
 
