@@ -74,8 +74,13 @@ class Preprocessor:
         base = self._clean(df)
         self.upper = iqr_upper_bound(base, exact=self.exact_quantiles)
         clipped = clip_amount(base, self.upper)
-        self.mean, self.std = fit_scaler(clipped)
-        self.vocab = fit_categories(clipped, [PAYMENT, CATEGORY])
+        # scaler statistics and category vocabularies in one pass
+        cats = [PAYMENT, CATEGORY]
+        r = clipped.agg(F.avg(AMOUNT).alias("m"), F.stddev_pop(AMOUNT).alias("s"),
+                        *[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cats]).first()
+        self.mean = float(r["m"]) if r["m"] is not None else 0.0
+        self.std = float(r["s"]) if r["s"] is not None else 0.0
+        self.vocab = {c: list(r[c] or []) for c in cats}
         self.fitted = True
         return self
 
