@@ -74,3 +74,27 @@ def test_recency_ignores_session_zone(spark):
         assert r == {"A": 3, "B": 1}
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_user_analytics_and_export(spark, tmpdir_path):
+    import os
+
+    from ledgerlens.sources import fixtures as fx
+
+    from conftest import SF001
+
+    df = fx.tx_o(spark, SF001)
+    out = U.user_analytics(df)
+    assert set(out) == {"segments", "top_users", "by_hour", "by_day"}
+    seg_rows = out["segments"].collect()
+    assert sum(r.user_count for r in seg_rows) == df.select("User_ID").distinct().count()
+    assert [r.rank for r in sorted(seg_rows, key=lambda r: -r.user_count)] == sorted(r.rank for r in seg_rows)
+    top = out["top_users"].collect()
+    assert len(top) == 10 and all(r.segment for r in top)
+    _, clustered = U.fit_segments(U.rfm(df), n_init=2)
+    seg = U.name_segments(clustered)
+    path = os.path.join(tmpdir_path, "segments")
+    U.export_segments(seg, path)
+    parts = sorted(p for p in os.listdir(path) if p.startswith("Segment_Name="))
+    assert 1 <= len(parts) <= 4
+    assert spark.read.parquet(path).count() == seg.count()
