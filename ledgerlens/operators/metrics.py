@@ -33,7 +33,7 @@ def _top_label(label: Column, measure: Column, cond: Column) -> Column:
 _GID_ALL, _GID_LOC, _GID_CAT, _GID_HR, _GID_DAY_USER, _GID_MON_USER = 63, 31, 47, 55, 58, 60
 
 
-def summary(df: DataFrame) -> DataFrame:
+def summary(df: DataFrame, approx_users: bool = False, rsd: float = 0.02) -> DataFrame:
     """One row: total_gmv, total_transactions, fraud_rate, top_city, top_category,
     peak_hour, active_users_daily_avg, active_users_monthly_avg.
 
@@ -42,12 +42,18 @@ def summary(df: DataFrame) -> DataFrame:
     each task. A second aggregate turns the ``(day, user)`` / ``(month, user)``
     rows into distinct-user counts, and a global fold picks the totals and the
     top labels; the global fold also makes an empty input give the zero row (A9).
+
+    ``approx_users=True`` counts daily / monthly users with HyperLogLog sketches
+    (relative error ``rsd``) inside the same single-scan aggregate, so no
+    per-(day, user) rows are shuffled at all.
     """
     d = df.select(money(AMOUNT).alias("amt"), F.col(FRAUD).alias("fraud"),
                   F.col(LOCATION).cast("string").alias("loc"),
                   F.col(CATEGORY).cast("string").alias("cat"),
                   F.hour(TS).alias("hr"), F.to_date(TS).alias("day"),
                   F.date_format(TS, "yyyy-MM").alias("mon"), F.col(USER_ID).alias("uid"))
+    if approx_users:
+        return _summary_approx(d, rsd)
     g = (d.groupingSets([[], ["loc"], ["cat"], ["hr"], ["day", "uid"], ["mon", "uid"]],
                         "loc", "cat", "hr", "day", "mon", "uid")
          .agg(F.grouping_id().alias("gid"), F.sum("amt").alias("amt"),
@@ -60,6 +66,22 @@ def summary(df: DataFrame) -> DataFrame:
          .agg(F.sum("amt").alias("amt"), F.sum("n").alias("n"), F.sum("fraud").alias("fraud"),
               # a day whose rows all lack a user id still counts, with 0 users
               F.count("uid").alias("users")))
+    return _fold_summary(u)
+
+
+def _summary_approx(d: DataFrame, rsd: float) -> DataFrame:
+    g = (d.groupingSets([[], ["loc"], ["cat"], ["hr"], ["day"], ["mon"]], "loc", "cat", "hr", "day", "mon")
+         .agg(F.grouping_id().alias("gid"), F.sum("amt").alias("amt"), F.count(F.lit(1)).alias("n"),
+              F.sum("fraud").alias("fraud"), F.approx_count_distinct("uid", rsd).alias("users")))
+    gid = F.col("gid")  # bits over (loc, cat, hr, day, mon)
+    kind = (F.when(gid == 31, "all").when(gid == 15, "loc").when(gid == 23, "cat")
+            .when(gid == 27, "hr").when(gid == 29, "day").otherwise("mon"))
+    key = F.coalesce("loc", "cat", F.col("hr").cast("string"), F.col("day").cast("string"), "mon")
+    return _fold_summary(g.select(kind.alias("kind"), key.alias("key"), "amt", "n", "fraud", "users"))
+
+
+def _fold_summary(u: DataFrame) -> DataFrame:
+    """(kind, key, amt, n, fraud, users) rows → the one summary row."""
     kind, key = F.col("kind"), F.col("key")
     total_n = F.sum(F.when(kind == "all", F.col("n")))
     total_f = F.sum(F.when(kind == "all", F.col("fraud")))

@@ -133,3 +133,17 @@ def test_day_without_user_ids_counts_as_zero(spark):
     rows = [_row(1, 1, MON, user="U1"), ("T2", None, 1.0, MON + dt.timedelta(days=1), "QR", "Mua sắm", "A", 0)]
     r = M.summary(_tx(spark, rows)).first()
     assert r.active_users_daily_avg == 0.5   # (1 + 0) / 2, as the reference's nunique-then-mean gives
+
+
+def test_summary_approx_users_close_to_exact(spark):
+    from ledgerlens.sources import fixtures as fx
+
+    from conftest import SF01
+
+    df = fx.tx(spark, SF01)
+    exact = M.summary(df).first()
+    approx = M.summary(df, approx_users=True).first()
+    for c in ("total_gmv", "total_transactions", "fraud_rate", "top_city", "top_category", "peak_hour"):
+        assert exact[c] == approx[c], c
+    for c in ("active_users_daily_avg", "active_users_monthly_avg"):
+        assert abs(approx[c] - exact[c]) <= 0.06 * exact[c], c
