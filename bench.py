@@ -60,6 +60,7 @@ def suite(spark, sf_dir: str, cpus: int) -> dict[str, float]:
     hanoi = FilterParams(location="Hà Nội")
     timed("summary", lambda: run(M.summary(tx)))
     timed("summary_filtered", lambda: run(M.summary(FL.apply_filters(tx, hanoi))))
+    timed("summary_approx_users", lambda: run(M.summary(tx, approx_users=True)))
     timed("distributions", lambda: run(M.distributions(tx)))
     timed("trend_month", lambda: run(M.trend(txo, "month")))
     timed("trend_quarter", lambda: run(M.trend(txo, "quarter")))

@@ -6,6 +6,17 @@ Every public operator takes and returns ``pyspark.sql.DataFrame`` objects
 """
 
 from ledgerlens.schema import FilterParams
+from ledgerlens.session import build_session, shared_dir
 
-__all__ = ["FilterParams"]
+
+def __getattr__(name):
+    # the service pulls in pyspark.ml; import it only when asked for
+    if name == "AnalyticsService":
+        from ledgerlens.plans.service import AnalyticsService
+
+        return AnalyticsService
+    raise AttributeError(name)
+
+
+__all__ = ["AnalyticsService", "FilterParams", "build_session", "shared_dir"]
 __version__ = "0.1.0"
