@@ -76,15 +76,11 @@ def s6(spark, sf):
 # ---------------------------------------------------------------------------
 # C1-C12 cleaning
 # ---------------------------------------------------------------------------
-def _raw_parsed(spark, sf):
-    return fx.tx_raw(spark, sf)
-
-
 @q("c1_timestamp_parse", with_views(
     "select Transaction_ID, try_strptime(Timestamp, '%Y-%m-%d %H:%M:%S') as Timestamp from tx_raw", "tx_raw"))
 def c1(spark, sf):
     from ledgerlens.functions.parse import parse_timestamp
-    return _raw_parsed(spark, sf).select(TX_ID, parse_timestamp(TS).alias(TS))
+    return fx.tx_raw(spark, sf).select(TX_ID, parse_timestamp(TS).alias(TS))
 
 
 @q("c2_amount_parse", with_views("select Transaction_ID, Amount_VND from tx_fraud", "tx_fraud"))
