@@ -77,9 +77,17 @@ def with_city(facts: DataFrame, key: str, spark: SparkSession, sf_dir: str,
     return j.join(city, j.c_nationkey == city.n_nationkey).drop("n_nationkey", "c_nationkey")
 
 
-def tx_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _facts(spark: SparkSession, sf_dir: str, name: str, partitions: int | None) -> DataFrame:
+    """A fact table; ``partitions`` spreads a file that arrives as a single split
+    (one row group) over the cores before the per-row work — a cluster's many
+    input files need no such step."""
+    df = read_table(spark, sf_dir, name)
+    return df.repartition(partitions) if partitions else df
+
+
+def tx_raw(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Dirty text rows, one per event (see module doc)."""
-    j = with_city(read_table(spark, sf_dir, "events"), "user_id", spark, sf_dir)
+    j = with_city(_facts(spark, sf_dir, "events", partitions), "user_id", spark, sf_dir)
     eid, value, ts = F.col("event_id"), F.col("value"), F.col("ts")
     k = F.get_json_object("props", "$.k").cast("int")
     payment = F.when(k % 4 == 0, PAYMENT_BY_K[0]).when(k % 4 == 1, PAYMENT_BY_K[1]) \
@@ -115,9 +123,9 @@ def tx_fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_fraud_input(tx_raw(spark, sf_dir))
 
 
-def tx_o(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tx_o(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Clean multi-month transactions, one per order."""
-    j = with_city(read_table(spark, sf_dir, "orders"), "o_custkey", spark, sf_dir, ("c_mktsegment",))
+    j = with_city(_facts(spark, sf_dir, "orders", partitions), "o_custkey", spark, sf_dir, ("c_mktsegment",))
     return j.select(
         F.col("o_orderkey").cast("string").alias(TX_ID),
         F.col("o_custkey").cast("string").alias(USER_ID),
