@@ -42,12 +42,15 @@ def build_session(master: str | None = None, app: str = "ledgerlens",
 def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a folder of our
-    own is created and registered.
+    Read from the session; only when it is unset on a local master (tests) a
+    folder of our own is created and registered. On a cluster an unset value
+    is an error: a machine-local folder would not survive losing that machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")   # single-machine runs only
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
