@@ -65,9 +65,9 @@ def fit_segments(rfm_df: DataFrame, k: int = KMEANS_K, n_init: int = KMEANS_REST
     """K-Means on the scaled RFM vectors, ``n_init`` restarts (seeds
     ``seed … seed+n_init-1``), keeping the lowest training cost.
 
-    The vectors are computed once, re-split to about ``ROWS_PER_PARTITION``
-    rows per partition (so 1,500 users are one task and a billion users a few
-    thousand) and persisted. Every K-Means iteration is a pass over them, so
+    The vectors are computed once, merged to at most one partition per
+    ``ROWS_PER_PARTITION`` rows (so 1,500 users are one task and a billion
+    users a few thousand) and persisted. Every K-Means iteration is a pass over them, so
     the restarts are submitted together from a thread pool: their jobs overlap
     on the cluster instead of queuing behind each other. Returns
     ``(model, frame with Cluster)``.
@@ -84,8 +84,9 @@ def fit_segments(rfm_df: DataFrame, k: int = KMEANS_K, n_init: int = KMEANS_REST
         if n_users < k:
             raise TooFewUsers(f"{n_users} users cannot form {k} clusters")
         parts = max(1, -(-n_users // ROWS_PER_PARTITION))
-        data = (base.coalesce(parts) if parts < base.rdd.getNumPartitions() else base.repartition(parts))
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        # coalesce only merges (no shuffle): AQE already sized the RFM shuffle
+        # output, so this just caps the count for the K-Means passes
+        data = base.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
         data.count()
         base.unpersist()
 

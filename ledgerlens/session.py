@@ -46,13 +46,17 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     folder of our own is created and registered. On a cluster an unset value
     is an error: a machine-local folder would not survive losing that machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 — remote (Connect) sessions expose no context
+        sc = None
+    base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")   # single-machine runs only
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/{sub}" if sub else base
