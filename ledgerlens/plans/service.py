@@ -53,8 +53,8 @@ class AnalyticsService:
     def filter_values(self) -> DataFrame:
         return FL.filter_values(self.dataset.cleaned())
 
-    def summary(self, params: FilterParams | None = None) -> DataFrame:
-        return M.summary(self._df(params))
+    def summary(self, params: FilterParams | None = None, approx_users: bool = False) -> DataFrame:
+        return M.summary(self._df(params), approx_users=approx_users)
 
     def distributions(self, params: FilterParams | None = None) -> DataFrame:
         return M.distributions(self._df(params))
