@@ -3,11 +3,13 @@ tables, Arrow batch slicing and vectorised word hashing on UTF-8 buffers."""
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,19 @@ def let(value: Column, body) -> Column:
 
 # --- Arrow batches -----------------------------------------------------------
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose Python workers find this package also where it is not
+    installed but only on the driver's path (a cluster ships it with --py-files)."""
+    env = df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return df.mapInArrow(fn, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds about ``max_bytes`` of ``column``; a
@@ -47,7 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
     for b in batches:
         if b.num_rows == 0:
             continue
-        n = np.asarray(pa.compute.binary_length(b.column(column)).fill_null(0)).astype(np.int64)
+        n = np.asarray(pc.binary_length(b.column(column)).fill_null(0)).astype(np.int64)
         total, start = np.concatenate([[0], np.cumsum(n)]), 0
         while start < b.num_rows:
             stop = int(np.searchsorted(total, total[start] + max_bytes, side="right")) - 1

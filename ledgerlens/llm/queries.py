@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import line_dedup, quality
-from ledgerlens.llm.common import read
+from ledgerlens.llm import langid, line_dedup, quality, sharding, warc
+from ledgerlens.llm.common import materialize, read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,39 @@ out AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE freq.k IS NOT NU
 
 ORACLE["op10_line_dedup"] = f"""WITH src AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), {LINES_SQL}
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM out JOIN src USING (rid)"""
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    page = lambda c: F.col(c).try_cast("long")  # noqa: E731  a null id was written as "null"
+    return warc.read_archives(spark, path).filter("kind = 'record'").select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page("refers_to").alias("refers_to"))
+
+
+ORACLE["op4_warc"] = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT page_id, octet_length(b) AS payload_bytes, CAST(unhex(sha1(b)) AS BIT)::VARCHAR AS s,
+    max(page_id) OVER (PARTITION BY sha1(b)) AS m FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + list_sum(list_transform(range(0, 5), lambda j: (ascii(substr(s, 5 * i + j + 1, 1)) - 48) * (16 >> CAST(j AS INT)))) AS BIGINT), 1)), '')
+        AS payload_digest,
+    CASE WHEN m IS NULL OR m IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN m IS DISTINCT FROM page_id THEN m END AS refers_to FROM g"""
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents"), n_shards=24)
+    digest = placed.select("row.doc_id", "size", F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))
+                           .alias("text_crc32"), "shard", "bin", "rank")
+    slots = sharding.number_slots(materialize(digest, "shards"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
