@@ -56,7 +56,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
-           max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+           max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds about ``max_bytes`` of ``column``; a
     single larger text makes a slice of its own."""
     for b in batches:
@@ -87,6 +87,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"): ord("Z") + 1] += 32
 
+PUNCTUATION = np.zeros(256, bool)             # ASCII signs
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INV = pow(_BASE, -1, 1 << 64)
@@ -126,8 +129,11 @@ class Words:
     """ASCII-space separated words of a slice of texts: their byte bounds,
     owning row and 64-bit hash (A-Z folded when ``lower``)."""
 
-    def __init__(self, column: pa.Array, lower: bool):
+    def __init__(self, column: pa.Array, lower: bool, drop: np.ndarray | None = None):
         data, off = utf8(column)
+        if drop is not None:                  # bytes to leave out before words are taken
+            keep = ~drop[data]
+            data, off = data[keep], np.concatenate([[0], np.cumsum(keep)])[off]
         self.data, self.offsets, n = data, off, len(data)
         solid = np.zeros(n + 1, bool)
         solid[:n] = ~SPACE[data]
@@ -138,13 +144,13 @@ class Words:
         last = solid[:n].copy()
         last &= ~solid[1:] | head[1:]
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(last) + 1
-        self.row = np.searchsorted(off, self.start, side="right") - 1
+        self.first = np.searchsorted(self.start, off)      # each row's first word, and the end
+        self.count = np.diff(self.first)
+        self.row = np.repeat(np.arange(len(off) - 1), self.count)
         s = prefix_hash(LOWER[data] if lower else data)
         down = powers(n + 1)[1]
         self.hash = mix((s[self.end] - s[self.start]) * down[self.start]
                         + (self.end - self.start).astype(np.uint64))
-        self.count = np.bincount(self.row, minlength=len(off) - 1)
-        self.first = np.concatenate([[0], np.cumsum(self.count)])
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word windows inside one row, and their first word's index."""
