@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, langid, line_dedup, lm_score, quality, sharding, warc
+from ledgerlens.llm import decontaminate, jaccard_join, langid, line_dedup, lm_score, quality, sharding, warc
 from ledgerlens.llm.common import materialize, read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select(F.col("c0").alias("doc_id"), (F.col("n_items") > 0).alias("contaminated"),
                         "item_id", "similarity", "n_items")
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similarity_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE["op7_ngram_jaccard_join"] = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i+3])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * o >= 85 * (na + nb - o)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, p.y FROM reach JOIN p ON reach.y = p.x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = s.doc_id) AS component_id FROM s"""
