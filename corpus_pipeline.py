@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import line_dedup, quality
+from ledgerlens.llm import decontaminate, jaccard_join, line_dedup, quality, sentencepiece_scan
 from ledgerlens.llm.common import materialize, read
 
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80       # of the near-duplicate stage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,9 +31,32 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return clean.select(*[v.alias(k) for k, v in cols.items()])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least id."""
+    return jaccard_join.keep_one_per_component(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents with their token ids, checked by decoding them again."""
+    names = docs.columns
+    back = sentencepiece_scan.decode(sentencepiece_scan.encode(docs))
+    text = F.col(f"c{names.index('text')}")
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != "text"]
+    return back.select(*kept, F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids",
+                       F.col("decoded").eqNullSafe(text).alias("round_trip"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece", sentencepiece),
 ]
 
 ORACLE_SQL = None   # the later stages have no SQL form; tests compare with brute force

@@ -11,6 +11,9 @@ empty ledger; extra columns of the input are not carried.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +24,33 @@ WHITE = " \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-# rule -> condition over the measurements; the position is the rule's bit.
-RULES: dict[str, str] = {
-    "few_words": "n_words < 10",
-    "repeated_words": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "10 * n_symbols > 3 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 60 * n_lines",
-    "short_words": "10 * word_chars < 25 * n_words",
-    "long_words": "word_chars > 20 * n_words",
-    "shouting": "100 * n_upper > 50 * word_chars",
-    "stutter": "100 * n_stutter > 50 * n_words",
+
+class Rule(NamedTuple):
+    """Fails where ``factor * measure`` is below/above ``bound`` (times another measure)."""
+    factor: int
+    measure: str
+    sign: str
+    bound: int
+    other: str | None = None
+
+    def column(self, of) -> Column:
+        left, right = self.factor * of(self.measure), F.lit(self.bound) * (of(self.other) if self.other else F.lit(1))
+        return left < right if self.sign == "<" else left > right
+
+    def sql(self) -> str:
+        return f"{self.factor} * {self.measure} {self.sign} {self.bound}" + (f" * {self.other}" if self.other else "")
+
+
+# The position of a rule is its bit.
+RULES: dict[str, Rule] = {
+    "few_words": Rule(1, "n_words", "<", 10),
+    "repeated_words": Rule(100, "n_repeat_words", ">", 20, "n_words"),
+    "symbols": Rule(10, "n_symbols", ">", 3, "n_words"),
+    "duplicate_lines": Rule(100, "n_dup_lines", ">", 60, "n_lines"),
+    "short_words": Rule(10, "word_chars", "<", 25, "n_words"),
+    "long_words": Rule(1, "word_chars", ">", 20, "n_words"),
+    "shouting": Rule(100, "n_upper", ">", 50, "word_chars"),
+    "stutter": Rule(100, "n_stutter", ">", 50, "n_words"),
 }
 BASE = ("few_words", "repeated_words")
 
@@ -76,29 +96,34 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def _measured(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``row`` (a struct of the carried columns, so no name can clash) and the
-    measurements the rules read."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), text.alias("t")).select(
-        "row", "t", F.filter(F.split("t", SPLIT), lambda w: w != "").alias("w"),
-        F.filter(F.split("t", "\n"), lambda x: _without(x, WHITE) > 0).alias("l")).select(
-        "row",
-        F.size("w").cast("long").alias("n_words"),
-        _without(F.col("t"), WHITE).cast("long").alias("word_chars"),
-        (F.length("t") - _without(F.col("t"), SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("w")).alias("n_repeat_words"),
-        F.size("l").cast("long").alias("n_lines"),
-        (F.length("t") - _without(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
-        F.size(F.filter("w", lambda x, i: x == F.get(F.col("w"), i - 1))).cast("long").alias("n_stutter"))
+def measures(text: Column) -> Column:
+    """A struct of everything the rules read. Words and lines are bound once per row: a
+    later filter on the struct cannot make Spark split the text again per element."""
+    def of_words(t, w, lines):
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            _without(t, WHITE).cast("long").alias("word_chars"),
+            (F.length(t) - _without(t, SYMBOLS)).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _repeat_words(w).alias("n_repeat_words"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.length(t) - _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
+            F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long").alias("n_stutter"))
+
+    def of_text(t):
+        words = F.filter(F.split(t, SPLIT), lambda w: w != "")
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+        return let(words, lambda w: let(lines, lambda x: of_words(t, w, x)))
+
+    return let(F.coalesce(text, F.lit("")), of_text)
 
 
 def ledger(docs: DataFrame) -> DataFrame:
     """The measurements plus ``fail_mask``: bit i is set where rule i fails."""
-    mask = sum((F.when(F.expr(cond), F.lit(bit(r))).otherwise(F.lit(0)) for r, cond in RULES.items()),
+    rows = docs.select("doc_id", measures(F.col("text")).alias("m")).select("doc_id", "m.*")
+    mask = sum((F.when(rule.column(F.col), F.lit(bit(r))).otherwise(F.lit(0)) for r, rule in RULES.items()),
                F.lit(0)).cast("long")
-    return _measured(docs, ["doc_id"]).select("row.doc_id", F.expr("* except (row)")).withColumn("fail_mask", mask)
+    return rows.withColumn("fail_mask", mask)
 
 
 def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -127,5 +152,6 @@ def ablation(rows: DataFrame) -> DataFrame:
 def keep_passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The input rows that pass ``policy``, all columns unchanged. The verdict is a
     projection of the row itself, so nothing is shuffled."""
-    bad = F.expr(" or ".join(f"({RULES[r]})" for r in POLICIES[policy]))
-    return _measured(docs, docs.columns).filter(~bad).select("row.*")
+    good = let(measures(F.col("text")), lambda m: ~reduce(
+        Column.__or__, [RULES[r].column(lambda c: m[c]) for r in POLICIES[policy]]))
+    return docs.filter(good)

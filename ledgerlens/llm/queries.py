@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, jaccard_join, langid, line_dedup, lm_score, quality, sharding, suffix_dedup, warc
+from ledgerlens.llm import decontaminate, jaccard_join, langid, line_dedup, lm_score, quality, sentencepiece_scan, sharding, suffix_dedup, warc
 from ledgerlens.llm.common import materialize, read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _case_mask() -> str:
-    return " + ".join(f"CASE WHEN {cond} THEN {quality.bit(r)} ELSE 0 END" for r, cond in quality.RULES.items())
+    return " + ".join(f"CASE WHEN {rule.sql()} THEN {quality.bit(r)} ELSE 0 END" for r, rule in quality.RULES.items())
 
 
 MEASURES_SQL = r"""
@@ -144,3 +144,11 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(y) FROM reach W
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepiece_scan.decode(sentencepiece_scan.encode(docs))
+    return back.select(F.col("c0").alias("doc_id"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+                       F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("c1")).alias("round_trip"))
