@@ -80,7 +80,7 @@ def test_exact_quantile_narrowing_with_hot_value(spark):
     df = _col(spark, vals, "v", "double").repartition(7)
     probs = [0.1, 0.25, 0.5, 0.75, 0.99]
     # small limits force several narrowing rounds
-    got = exact_quantiles(df, "v", probs, accuracy=100, max_distinct=50)
+    got = exact_quantiles(df, "v", probs)
     want = np.quantile(np.array(vals), probs, method="linear")
     for g, w in zip(got, want):
         assert math.isclose(g, w, rel_tol=1e-12, abs_tol=1e-9)
@@ -92,7 +92,7 @@ def test_exact_quantile_narrowing_with_hot_value(spark):
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=60))
 def test_exact_quantile_property(spark, xs):
     df = _col(spark, xs, "v", "double")
-    got = exact_quantiles(df, "v", [0.25, 0.75], max_distinct=8, accuracy=50)
+    got = exact_quantiles(df, "v", [0.25, 0.75])
     want = np.quantile(np.array(xs), [0.25, 0.75], method="linear")
     for g, w in zip(got, want):
         assert math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-6)
