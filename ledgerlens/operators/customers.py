@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
@@ -12,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import money, trunc_to_long
-from ledgerlens.session import shared_dir
 from ledgerlens.schema import (
     AMOUNT, KMEANS_K, KMEANS_RESTARTS, MODEL_SEED, PAYMENT, SEGMENT_NAMES, TS, TX_ID, USER_ID,
 )
@@ -57,38 +55,29 @@ def rfm_scaled(rfm_df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return rfm_df.withColumns(scaled)
 
 
-ROWS_PER_PARTITION = 500_000  # ~3 doubles per row: a few tens of MB per task
-
-
 def fit_segments(rfm_df: DataFrame, k: int = KMEANS_K, n_init: int = KMEANS_RESTARTS,
-                 seed: int = MODEL_SEED, max_iter: int = 300, parallelism: int | None = None):
+                 seed: int = MODEL_SEED, max_iter: int = 300, parallelism: int | None = None,
+                 partitions: int | None = None, path: str | None = None):
     """K-Means on the scaled RFM vectors, ``n_init`` restarts (seeds
     ``seed … seed+n_init-1``), keeping the lowest training cost.
 
-    The vectors are computed once, merged to at most one partition per
-    ``ROWS_PER_PARTITION`` rows (so 1,500 users are one task and a billion
-    users a few thousand) and persisted. Every K-Means iteration is a pass over them, so
-    the restarts are submitted together from a thread pool: their jobs overlap
-    on the cluster instead of queuing behind each other. Returns
-    ``(model, frame with Cluster)``.
+    The vectors are computed once and persisted in the partitions the RFM shuffle
+    left (``partitions`` deals them anew where a caller wants another number). Every
+    K-Means iteration is a pass over them, so the restarts are submitted together from a
+    thread pool: their jobs overlap on the cluster instead of queuing behind each other.
+    Returns ``(model, frame with Cluster)``; the frame is written to ``path`` and read back
+    if one is given (the caller owns that folder), else it is computed when used.
     """
-    # RFM is read twice (statistics subquery + vectors): cache it for that one action.
-    rfm_cached = rfm_df.persist(StorageLevel.MEMORY_AND_DISK)
-    scaled = rfm_scaled(rfm_cached)
+    scaled = rfm_scaled(rfm_df)
     vec = VectorAssembler(inputCols=[f"{c}_scaled" for c in RFM_COLS], outputCol="features")
-    base = vec.transform(scaled).persist(StorageLevel.MEMORY_AND_DISK)
-    data = None
+    data = vec.transform(scaled)
+    if partitions:
+        data = data.repartition(partitions, USER_ID)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n_users = base.count()
-        rfm_cached.unpersist()
+        n_users = data.count()
         if n_users < k:
             raise TooFewUsers(f"{n_users} users cannot form {k} clusters")
-        parts = max(1, -(-n_users // ROWS_PER_PARTITION))
-        # coalesce only merges (no shuffle): AQE already sized the RFM shuffle
-        # output, so this just caps the count for the K-Means passes
-        data = base.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-        data.count()
-        base.unpersist()
 
         # Stopping rule: the reference library stops once the summed squared
         # centre shift is <= 1e-4 x mean feature variance (1 after scaling);
@@ -105,18 +94,12 @@ def fit_segments(rfm_df: DataFrame, k: int = KMEANS_K, n_init: int = KMEANS_REST
         with ThreadPoolExecutor(max_workers=workers) as pool:
             results = list(pool.map(run, range(seed, seed + n_init)))
         best = min(results, key=lambda r: (r[0], r[1]))[2]
-        # Assignments are written once to the shared checkpoint folder: later
-        # reports read one small table instead of re-running RFM, and the
-        # lineage back to the transactions is cut.
-        out = best.transform(data).select(*rfm_df.columns, "Cluster")
-        path = shared_dir(rfm_df.sparkSession, f"segments/{uuid.uuid4().hex}")
-        out.write.mode("overwrite").parquet(path)
-        return best, rfm_df.sparkSession.read.parquet(path)
+        if path:
+            best.transform(data).select(*rfm_df.columns, "Cluster").write.mode("overwrite").parquet(path)
+            return best, rfm_df.sparkSession.read.parquet(path)
     finally:
-        rfm_cached.unpersist()
-        base.unpersist()
-        if data is not None:
-            data.unpersist()
+        data.unpersist()
+    return best, best.transform(vec.transform(scaled)).select(*rfm_df.columns, "Cluster")
 
 
 def name_segments(clustered: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -192,12 +175,16 @@ def export_segments(segmented: DataFrame, path: str, mode: str = "overwrite") ->
 
 def user_analytics(df: DataFrame, segmented: DataFrame | None = None) -> dict[str, DataFrame]:
     """U8: segments (U5), top users (U6), count by hour (B8) and weekday (B9) of a
-    (filtered) frame. Segments are fitted here unless given."""
+    (filtered) frame. Segments are fitted here unless given; a frame without users gives
+    four empty results."""
     from ledgerlens.operators.metrics import count_by_hour, count_by_weekday
 
     if segmented is None:
-        _, clustered = fit_segments(rfm(df))
-        segmented = name_segments(clustered)
+        users = rfm(df)
+        if users.head(1):
+            segmented = name_segments(fit_segments(users)[1])
+        else:
+            segmented = users.withColumns({"Cluster": F.lit(0), "Segment_Name": F.lit("")})
     return {
         "segments": segment_totals(segmented),
         "top_users": top_users(segmented, df),

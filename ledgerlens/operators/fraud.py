@@ -135,7 +135,11 @@ def classification_metrics(df: DataFrame, label: str = FRAUD, prediction: str =
     The confusion counts (a few rows) are spread to per-class
     ``(support, predicted, tp)`` contributions and folded: no joins.
     """
-    cc = confusion_counts(df, label, prediction)
+    return _metrics_of(confusion_counts(df, label, prediction))
+
+
+def _metrics_of(cc: DataFrame) -> DataFrame:
+    """M6 from ``(label, prediction, n)`` rows."""
     zero = F.lit(0).cast("long")
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(zero)
     parts = F.array(
@@ -159,10 +163,13 @@ def classification_metrics(df: DataFrame, label: str = FRAUD, prediction: str =
 
 
 def confusion(df: DataFrame, label: str = FRAUD, prediction: str = "prediction") -> DataFrame:
-    """M7: zero-filled 2×2 matrix as rows ``(label, prediction, count)``; rows = truth."""
-    y, p = F.col(label).cast("int"), F.col(prediction).cast("int")
-    one = df.agg(*[F.count_if((y == a) & (p == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
-    return one.select(F.expr("stack(4, 0, 0, c00, 0, 1, c01, 1, 0, c10, 1, 1, c11) as (label, prediction, count)"))
+    """M7: confusion counts as rows ``(label, prediction, count)``, rows = truth: the 2×2 matrix
+    zero-filled, and a row for every pair with another label that occurs."""
+    zero = df.sparkSession.range(4).select(F.floor(F.col("id") / 2).cast("int").alias("label"),
+                                           (F.col("id") % 2).cast("int").alias("prediction"), F.lit(0).cast("long").alias("n"))
+    seen = df.select(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction"),
+                     F.lit(1).cast("long").alias("n"))
+    return seen.unionByName(zero).groupBy("label", "prediction").agg(F.sum("n").alias("count"))
 
 
 def class_counts(df: DataFrame, label: str = FRAUD) -> DataFrame:
@@ -172,6 +179,15 @@ def class_counts(df: DataFrame, label: str = FRAUD) -> DataFrame:
                   F.count_if(F.col(label) == 0).alias("normal_samples"))
 
 
+def metrics_from_counts(counts: DataFrame, kind: str, classes: DataFrame) -> DataFrame:
+    """The row of ``evaluate`` from confusion counts and full-set class counts."""
+    m = _metrics_of(counts.where("count > 0").select("label", "prediction", F.col("count").alias("n")))
+    row = classes.agg(F.struct(*[F.first(c).alias(c) for c in
+                                 ("total_samples", "fraud_samples", "normal_samples")])).scalar()
+    return m.select(F.lit(kind).alias("model"), "*", *[row[c].alias(c) for c in
+                                                       ("total_samples", "fraud_samples", "normal_samples")])
+
+
 def evaluate(model: FraudModel, df: DataFrame) -> DataFrame:
     """Metrics row of a fitted model on its held-out split plus full-set counts."""
     m = classification_metrics(test_predictions(model, df))

@@ -1,7 +1,7 @@
 """Decision-path explanations (M11, M12) compiled into a Column.
 
-A fitted tree of depth ≤ 4 has at most 31 nodes. They are read once from the
-model's saved form, and the tree is turned into nested ``CASE WHEN``
+A fitted tree of depth ≤ 4 has at most 31 nodes. They are read from the model's own
+text form, and the tree is turned into nested ``CASE WHEN``
 expressions over the *raw* input columns: every leaf yields the literal list of
 rule texts on its path. Explaining a table is then a projection that runs on
 the executors inside whole-stage codegen — no Python per row, no UDF.
@@ -9,7 +9,7 @@ the executors inside whole-stage codegen — no Python per row, no UDF.
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,28 +18,40 @@ from ledgerlens.schema import (
     AMOUNT, FIELD_LABELS, HOUR, PAYMENT, RULE_AMOUNT, RULE_FIELD_IS, RULE_FIELD_IS_NOT, RULE_HOUR,
     RULE_NOT_PAID_WITH, RULE_PAID_WITH, RULE_WEEKDAY, RULE_WEEKEND, WEEKEND,
 )
-from ledgerlens.session import shared_dir
 
 NULL_CATEGORY = "nan"
 
 
-def tree_nodes(model, spark, path: str | None = None, tree_id: int = 0) -> dict[int, dict]:
-    """Nodes of one tree as ``{id: {prediction, left, right, feature, values, ncat}}``.
+_SPLIT = re.compile(r"(If|Else) \(feature (\d+) (<=|>|in|not in) (.+)\)$")
 
-    ``model`` is a fitted DecisionTree/RandomForest classification model; it is
-    saved under ``path`` (default: the shared checkpoint folder) unless that
-    folder already holds it. Forests contribute tree ``tree_id``.
-    """
-    if path is None:
-        path = shared_dir(spark, f"explain/{uuid.uuid4().hex}")
-        model.write().overwrite().save(path)
-    data = spark.read.parquet(f"{path}/data")
-    if "treeID" in data.columns:
-        data = data.where(F.col("treeID") == tree_id).select("nodeData.*")
-    rows = data.select("id", "prediction", "leftChild", "rightChild", "split.*").collect()
-    return {r["id"]: {"prediction": r["prediction"], "left": r["leftChild"], "right": r["rightChild"],
-                      "feature": r["featureIndex"], "values": list(r["leftCategoriesOrThreshold"] or []),
-                      "ncat": r["numCategories"]} for r in rows}
+
+def tree_nodes(model, tree_id: int = 0) -> dict[int, dict]:
+    """Nodes of one tree as ``{id: {prediction, left, right, feature, values, ncat}}``, read from
+    the fitted model's own text form (``If``/``Else`` pairs in pre-order); nothing is
+    written. Forests contribute tree ``tree_id``. ``ncat`` is -1 for a threshold."""
+    tree = model.trees[tree_id] if hasattr(model, "trees") else model
+    lines = [x.strip() for x in tree.toDebugString.splitlines()[1:] if x.strip()]
+    nodes: dict[int, dict] = {}
+    at = 0
+
+    def read() -> int:
+        nonlocal at
+        nid, line = len(nodes), lines[at]
+        at += 1
+        if line.startswith("Predict:"):
+            nodes[nid] = {"prediction": float(line.split(":")[1]), "left": -1, "right": -1, "feature": -1, "values": [], "ncat": -1}
+            return nid
+        _, feature, sign, value = _SPLIT.match(line).groups()
+        kinds = [float(x) for x in value.strip("{}").split(",") if x] if "in" in sign else [float(value)]
+        nodes[nid] = {"prediction": 0.0, "feature": int(feature), "values": kinds, "ncat": len(kinds) if "in" in sign else -1}
+        left = read()
+        at += 1                                          # the matching Else line
+        right = read()
+        nodes[nid] |= {"left": left, "right": right}
+        return nid
+
+    read()
+    return nodes
 
 
 def _fmt_thousands(x: float) -> str:
@@ -98,12 +110,11 @@ def compile_tree(nodes: dict[int, dict], features: list[tuple[str, str | None]])
     return walk(0, [])
 
 
-def explain(fraud_model, df: DataFrame, path: str | None = None) -> DataFrame:
+def explain(fraud_model, df: DataFrame) -> DataFrame:
     """``rules`` (decision path texts) and ``path_prediction`` per row.
 
     Forests are explained by their first tree, as in the reference.
     """
-    spark = df.sparkSession
-    nodes = tree_nodes(fraud_model.classifier, spark, path)
+    nodes = tree_nodes(fraud_model.classifier)
     rules, pred = compile_tree(nodes, fraud_model.feature_names())
     return df.withColumns({"rules": rules, "path_prediction": pred})

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.fraud import (
-    KINDS, FraudModel, confusion, evaluate, fit_fraud_model, test_predictions,
+    KINDS, FraudModel, class_counts, confusion, fit_fraud_model, metrics_from_counts, test_predictions,
 )
 
 
@@ -37,10 +37,11 @@ class ModelRegistry:
     def train(self, df: DataFrame, kind: str) -> DataFrame:
         model = fit_fraud_model(df, kind)
         model.model.write().overwrite().save(self._path(kind, "model"))
-        model.classifier.write().overwrite().save(self._path(kind, "classifier"))
-        metrics = evaluate(model, df)
+        # one scoring pass over the held-out rows: the counts are written, and both the
+        # metrics and the matrix come from that small table
         confusion(test_predictions(model, df)).write.mode("overwrite").parquet(self._path(kind, "confusion"))
-        metrics.write.mode("overwrite").parquet(self._path(kind, "metrics"))
+        counts = self.spark.read.parquet(self._path(kind, "confusion"))
+        metrics_from_counts(counts, kind, class_counts(df)).write.mode("overwrite").parquet(self._path(kind, "metrics"))
         self._cache[kind] = model
         return self.metrics(kind)
 
@@ -63,9 +64,6 @@ class ModelRegistry:
         self._cache[kind] = m
         return m
 
-    def classifier_path(self, kind: str) -> str:
-        return self._path(kind, "classifier")
-
     def metrics(self, kind: str) -> DataFrame:
         if not self.is_trained(kind):
             raise ModelNotTrained(f"model {kind!r} is not trained for this dataset")

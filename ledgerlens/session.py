@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime re-planning: coalesce small shuffle partitions, split skewed join
@@ -42,9 +40,8 @@ def build_session(master: str | None = None, app: str = "ledgerlens",
 def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset on a local master (tests) a
-    folder of our own is created and registered. On a cluster an unset value
-    is an error: a machine-local folder would not survive losing that machine.
+    Read from the session; where it is unset, a folder inside the session's warehouse,
+    which every executor reaches, is used and registered.
     """
     try:
         sc = spark.sparkContext
@@ -52,9 +49,7 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
         sc = None
     base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not base:
-        if sc is None or not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")   # single-machine runs only
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.conf.set("spark.checkpoint.dir", base)
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
