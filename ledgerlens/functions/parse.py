@@ -8,8 +8,11 @@ whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.schema import DEFAULT_TS_FORMAT, NA_TOKENS
 
@@ -45,8 +48,15 @@ def parse_int(c: str | Column, default: int) -> Column:
     return F.coalesce(parse_number(c).try_cast("int"), F.lit(int(default)))
 
 
+def parse_flag(c: str | Column, default: int = 0) -> Column:
+    """As ``parse_int``; ``True`` / ``False`` (text or boolean column) are 1 / 0."""
+    word = F.lower(F.trim(_col(c).cast("string")))
+    return F.when(word == "true", 1).when(word == "false", 0).otherwise(parse_int(c, default))
+
+
 def parse_timestamp(c: str | Column, fmt: str = DEFAULT_TS_FORMAT) -> Column:
     """Text → ``timestamp_ntz`` with an explicit pattern; bad text → NULL.
+    (Columns that are already timestamps or dates: see ``timestamp_column``.)
 
     ``to_timestamp_ntz`` reads the wall-clock value with no time zone involved
     (a zoned parse would move times inside a daylight-saving gap), but raises
@@ -55,3 +65,38 @@ def parse_timestamp(c: str | Column, fmt: str = DEFAULT_TS_FORMAT) -> Column:
     c = _col(c).cast("string")
     f = F.lit(fmt)
     return F.when(F.try_to_timestamp(c, f).isNotNull(), F.to_timestamp_ntz(c, f))
+
+
+# Text shapes the format of a file is taken from, and the pattern each one means.
+TS_SHAPES = (
+    (r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", "yyyy-MM-dd HH:mm:ss"),
+    (r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{1,6}", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
+    (r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{1,6}", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
+    (r"\d{4}-\d\d-\d\d \d\d:\d\d", "yyyy-MM-dd HH:mm"),
+    (r"\d{4}-\d\d-\d\dT\d\d:\d\d", "yyyy-MM-dd'T'HH:mm"),
+    (r"\d{4}-\d\d-\d\d", "yyyy-MM-dd"),
+    (r"\d{4}/\d\d/\d\d \d\d:\d\d:\d\d", "yyyy/MM/dd HH:mm:ss"),
+    (r"\d\d/\d\d/\d{4} \d\d:\d\d:\d\d", "MM/dd/yyyy HH:mm:ss"),
+    (r"\d\d/\d\d/\d{4}", "MM/dd/yyyy"),
+)
+
+
+def infer_ts_format(df: DataFrame, col: str) -> str:
+    """The pattern of a text column's timestamps, from its first value that has a known
+    shape among the first ``20`` non-null ones (a bounded read); the default otherwise."""
+    if col not in df.columns or df.schema[col].dataType != T.StringType():
+        return DEFAULT_TS_FORMAT
+    for (text,) in df.select(col).where(F.col(col).isNotNull()).limit(20).collect():
+        for shape, fmt in TS_SHAPES:
+            if re.fullmatch(shape, text.strip()):
+                return fmt
+    return DEFAULT_TS_FORMAT
+
+
+def timestamp_column(df: DataFrame, col: str, fmt: str = DEFAULT_TS_FORMAT) -> Column:
+    """``col`` as ``timestamp_ntz``: typed timestamps and dates are taken as they are (zoned ones
+    as wall-clock time of the session zone), only text is parsed."""
+    if isinstance(df.schema[col].dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        return F.col(col).cast("timestamp_ntz")
+    return parse_timestamp(col, fmt)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.labels import localise_category, localise_payment
-from ledgerlens.functions.parse import parse_amount, parse_int, parse_timestamp
+from ledgerlens.functions.parse import parse_amount, parse_flag, parse_int, timestamp_column
 from ledgerlens.operators.quantile import approx_quantiles, exact_quantiles
 from ledgerlens.schema import (
     AMOUNT, CATEGORY, DEFAULT_TS_FORMAT, FRAUD, HOUR, LOCATION, PAYMENT, RISK, TS, TX_ID,
@@ -27,13 +27,14 @@ def localise(df: DataFrame) -> DataFrame:
 
 def clean_transactions(df: DataFrame, ts_format: str = DEFAULT_TS_FORMAT) -> DataFrame:
     """Dashboard cleaning: C1 timestamp, C2 amount, C3 fraud flag, C4 drop bad
-    timestamps, C5/C6 localisation; C7/C8 when the hour / weekend columns exist."""
+    timestamps, C5/C6 localisation; C7/C8 when the hour / weekend columns exist.
+    ``ts_format`` is used for text only (see ``infer_ts_format``)."""
     out = _replace(df, {
-        TS: parse_timestamp(TS, ts_format),
+        TS: timestamp_column(df, TS, ts_format),
         AMOUNT: parse_amount(AMOUNT),
-        FRAUD: parse_int(FRAUD, 0),
+        FRAUD: parse_flag(FRAUD),
         HOUR: parse_int(HOUR, 12),
-        WEEKEND: parse_int(WEEKEND, 0),
+        WEEKEND: parse_flag(WEEKEND),
     })
     out = out.where(F.col(TS).isNotNull())
     return localise(out)
@@ -44,9 +45,9 @@ def clean_fraud_input(df: DataFrame) -> DataFrame:
     out = localise(df)
     return _replace(out, {
         AMOUNT: parse_amount(AMOUNT),
-        FRAUD: parse_int(FRAUD, 0),
+        FRAUD: parse_flag(FRAUD),
         HOUR: parse_int(HOUR, 12),
-        WEEKEND: parse_int(WEEKEND, 0),
+        WEEKEND: parse_flag(WEEKEND),
     })
 
 
@@ -65,7 +66,7 @@ def iqr_upper_bound(df: DataFrame, col: str = AMOUNT, whisker: float = 3.0,
                     exact: bool = True) -> float | None:
     """C11 fit: ``Q3 + whisker·(Q3 - Q1)`` with linearly interpolated quartiles.
 
-    ``exact=True`` uses the distributed exact selection (a few bounded passes);
+    ``exact=True`` uses the distributed exact selection (a few passes, one path at every size);
     ``exact=False`` a one-pass quantile sketch.
     """
     q = (exact_quantiles if exact else approx_quantiles)(df, col, [0.25, 0.75])

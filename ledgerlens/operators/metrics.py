@@ -86,7 +86,9 @@ def _fold_summary(u: DataFrame) -> DataFrame:
     total_n = F.sum(F.when(kind == "all", F.col("n")))
     total_f = F.sum(F.when(kind == "all", F.col("fraud")))
     return u.agg(
-        F.coalesce(trunc_to_long(F.sum(F.when(kind == "all", F.col("amt")))), F.lit(0).cast("bigint")).alias("total_gmv"),
+        # 0 without amounts; NULL where the total does not fit a bigint
+        F.when(F.sum(F.when(kind == "all", F.col("amt"))).isNull(), F.lit(0).cast("bigint"))
+         .otherwise(trunc_to_long(F.sum(F.when(kind == "all", F.col("amt"))))).alias("total_gmv"),
         F.coalesce(total_n, F.lit(0).cast("bigint")).alias("total_transactions"),
         F.coalesce(F.try_divide(total_f, total_n) * 100, F.lit(0.0)).alias("fraud_rate"),
         _top_label(key, F.col("amt"), (kind == "loc") & key.isNotNull()).alias("top_city"),
@@ -209,17 +211,18 @@ def category_flows(df: DataFrame, min_share: float = FLOW_MIN_SHARE) -> DataFram
          .agg(F.sum(money(AMOUNT)).alias("v")))
     total = F.sum("v").over(Window.partitionBy())
     return (g.withColumn("total", total)
-            .where(F.col("v") >= F.col("total") * F.lit(min_share).cast("decimal(4,3)"))
+            .where(F.col("v").cast("double") >= F.col("total").cast("double") * F.lit(float(min_share)))
             .select("from", "to", F.col("v").cast("double").alias("value")))
 
 
 def user_funnel(df: DataFrame, steps: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
-    """Users with ≥ 1 / ≥ 2 / ≥ 5 transactions → rows ``(step, label, value)``."""
-    per_user = (df.where(F.col(USER_ID).isNotNull()).groupBy(USER_ID)
-                .agg(F.count(TX_ID).alias("n")))
-    counts = per_user.agg(*[
-        (F.count(F.lit(1)) if s <= 1 else F.count_if(F.col("n") >= s)).alias(f"s{i}")
-        for i, s in enumerate(steps)])
+    """Users with ≥ 1 / ≥ 2 / ≥ 5 transactions → rows ``(step, label, value)``;
+    no row for an empty frame."""
+    per_user = df.groupBy(USER_ID).agg(F.count(TX_ID).alias("n"))
+    known = F.col(USER_ID).isNotNull()
+    counts = per_user.agg(F.count(F.lit(1)).alias("groups"), *[
+        F.count_if(known if s <= 1 else known & (F.col("n") >= s)).alias(f"s{i}") for i, s in enumerate(steps)])
+    counts = counts.where("groups > 0")
     labels = list(FUNNEL_LABELS) + [f">= {s}" for s in steps[len(FUNNEL_LABELS):]]
     pairs = ", ".join(f"{i + 1}, '{labels[i]}', s{i}" for i in range(len(steps)))
     return counts.select(F.expr(f"stack({len(steps)}, {pairs}) as (step, label, value)"))

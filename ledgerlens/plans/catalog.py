@@ -238,7 +238,7 @@ def p4(spark, sf):
 @q("p5_label_value", with_views(
     f"select Merchant_Category as label, {_ms()} as value from tx group by Merchant_Category", "tx"))
 def p5(spark, sf):
-    g = fx.tx(spark, sf).groupBy(CATEGORY).agg(F.sum(F.col(AMOUNT).cast("decimal(18,2)")).cast("double").alias("total"))
+    g = fx.tx(spark, sf).groupBy(CATEGORY).agg(F.sum(F.col(AMOUNT).cast("decimal(28,6)")).cast("double").alias("total"))
     return P.label_value(g, CATEGORY, "total")
 
 
@@ -362,7 +362,7 @@ def b9(spark, sf):
 
 
 @q("b10_payment_category_flows", with_views(
-    'select "from", "to", cast(v as double) as value from g where v >= (select sum(v) from g) * 0.005', "tx",
+    'select "from", "to", cast(v as double) as value from g where cast(v as double) >= cast((select sum(v) from g) as double) * 0.005', "tx",
     extra=[f'g as (select Payment_Method as "from", Merchant_Category as "to", {MS} as v from tx '
            "where Payment_Method is not null and Merchant_Category is not null group by 1, 2)"]))
 def b10(spark, sf):
@@ -409,8 +409,8 @@ _INSIGHT_BODY = """select cast(row_number() over (order by k) as integer) as seq
 
 def _insight_cte(where: str) -> str:
     return (f"s as (select count(*) as n, "
-            f"coalesce(sum(case when isodow(Timestamp) >= 6 then cast(Amount_VND as decimal(18,2)) end), 0) as wkend, "
-            f"coalesce(sum(case when isodow(Timestamp) < 6 then cast(Amount_VND as decimal(18,2)) end), 0) as wkday, "
+            f"coalesce(sum(case when isodow(Timestamp) >= 6 then cast(Amount_VND as decimal(28,6)) end), 0) as wkend, "
+            f"coalesce(sum(case when isodow(Timestamp) < 6 then cast(Amount_VND as decimal(28,6)) end), 0) as wkday, "
             f"(select cast(hour(Timestamp) as integer) from tx where {where} group by 1 order by count(*) desc, 1 limit 1) as peak "
             f"from tx where {where})")
 

@@ -102,7 +102,7 @@ def with_views(body: str, *views: str, extra: list[str] | None = None) -> str:
 
 
 def money_sum(c: str = "Amount_VND") -> str:
-    return f"sum(cast({c} as decimal(18,2)))"
+    return f"sum(try_cast({c} as decimal(28,6)))"
 
 
 def hash_bucket(c: str = "Transaction_ID") -> str:

@@ -29,7 +29,7 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_C
 DEFAULT_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 # Sums go through an exact decimal so they do not depend on partition order.
-MONEY = T.DecimalType(18, 2)
+MONEY = T.DecimalType(28, 6)
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must equal the reference's values for equal results.

@@ -47,7 +47,7 @@ def test_empty_input(spark):
     assert r.active_users_daily_avg == 0.0
     assert M.distributions(df).count() == 0 and M.trend(df).count() == 0
     assert [x.text for x in M.insights(df).collect()] == [INSIGHT_NO_DATA]
-    assert [x.value for x in M.user_funnel(df).orderBy("step").collect()] == [0, 0, 0]
+    assert M.user_funnel(df).count() == 0
 
 
 def test_weekend_insight(spark):
