@@ -40,23 +40,28 @@ def page(df: DataFrame, sort_by: str = TS, sort_order: str = "desc", page_no: in
     return out.limit(page_size)
 
 
-def page_after(df: DataFrame, last_value, last_id: str, sort_by: str = TS, sort_order: str = "desc",
+def page_after(df: DataFrame, last_value, last_id: str | None, sort_by: str = TS, sort_order: str = "desc",
                page_size: int = 20) -> DataFrame:
     """P2 keyset form: the page following the row ``(last_value, last_id)``.
 
     The predicate removes every earlier row before the top-k, so a deep page
-    costs the same as the first one. Rows with a NULL sort value come last.
+    costs the same as the first one. Rows with a NULL sort value come last, rows with a
+    NULL id last among equal sort values; rows equal in both are not told apart, so those
+    with a NULL id are returned on the page that follows the last row with an id.
     """
     col = sort_by if sort_by in SORTABLE_COLUMNS else TS
     asc = (sort_order or "").lower() == "asc"
     c, i = F.col(col), F.col(TX_ID)
+    if last_id is None:     # nulls sort last: nothing with this sort value follows
+        tied = F.lit(False)
+    else:
+        tied = F.coalesce((i > F.lit(last_id)) if asc else (i < F.lit(last_id)), F.lit(True))
     if last_value is None:  # already inside the NULL tail
-        after = c.isNull() & ((i > F.lit(last_id)) if asc else (i < F.lit(last_id)))
+        after = c.isNull() & tied
     else:
         v = F.lit(last_value).cast(df.schema[col].dataType)
         beyond = (c > v) if asc else (c < v)
-        same = (c == v) & ((i > F.lit(last_id)) if asc else (i < F.lit(last_id)))
-        after = c.isNull() | beyond | same
+        after = c.isNull() | beyond | ((c == v) & tied)
     return df.where(after).orderBy(*sort_keys(col, sort_order)).limit(page_size)
 
 

@@ -25,25 +25,28 @@ from ledgerlens.sources.dataset import Dataset, open_dataset
 class AnalyticsService:
     """Dashboard, listing, segmentation and fraud requests over one dataset."""
 
-    def __init__(self, spark: SparkSession, path: str, materialize: bool = False):
-        """``materialize=True`` parses the source once into month-partitioned
+    def __init__(self, spark: SparkSession, path: str, materialize: bool = False, ts_format: str | None = None):
+        """``ts_format`` is the pattern of the file's timestamps (default: taken from its
+        first values). ``materialize=True`` parses the source once into month-partitioned
         parquet under the shared checkpoint folder; later requests then read
         only the columns and months they need."""
         self.spark = spark
         self.materialize = materialize
-        self.dataset: Dataset = open_dataset(spark, path)
+        self.dataset: Dataset = open_dataset(spark, path, ts_format=ts_format)
         if materialize:
             self.dataset.materialize()
         self.registry = ModelRegistry(spark, self.dataset.registry_path())
         self._segments: DataFrame | None = None
 
     # -- dataset ------------------------------------------------------------
-    def change_dataset(self, path: str) -> None:
+    def change_dataset(self, path: str, ts_format: str | None = None) -> None:
         """Switch files: cached data, fitted segments and trained models are dropped."""
-        self.dataset = open_dataset(self.spark, path, previous=self.dataset)
+        self.dataset = open_dataset(self.spark, path, previous=self.dataset, ts_format=ts_format)
         if self.materialize:
             self.dataset.materialize()
         self.registry = ModelRegistry(self.spark, self.dataset.registry_path())
+        if self._segments is not None:
+            self._segments.unpersist()
         self._segments = None
 
     def _df(self, params: FilterParams | None = None) -> DataFrame:
@@ -83,16 +86,28 @@ class AnalyticsService:
         return {"total": P.page_total(f),
                 "rows": P.project_rows(P.page(f, sort_by, sort_order, page, page_size))}
 
+    def transactions_after(self, last_value, last_id: str | None, params: FilterParams | None = None, search: str = "",
+                           sort_by: str = TS, sort_order: str = "desc", page_size: int = 20) -> DataFrame:
+        """The page behind a row, at the cost of the first page (see ``listing.page_after``)."""
+        f = FL.search(self._df(params), search)
+        return P.project_rows(P.page_after(f, last_value, last_id, sort_by, sort_order, page_size))
+
     # -- customers ----------------------------------------------------------
     def user_analytics(self, params: FilterParams | None = None) -> dict[str, DataFrame]:
-        """Segments are fitted on the filtered rows, as in the reference."""
+        """Segments are fitted on the filtered rows, as in the reference; without a filter
+        they are those of ``segmentation``."""
+        if params is None or params == FilterParams():
+            if not self._df().head(1):
+                return U.user_analytics(self._df())
+            self.segmentation()
+            return U.user_analytics(self._df(), self._segments)
         return U.user_analytics(self._df(params))
 
     def segmentation(self) -> dict[str, DataFrame]:
         """Segments of the whole table: fitted once per dataset, then reused."""
         if self._segments is None:
             _, clustered = U.fit_segments(U.rfm(self.dataset.cleaned()))
-            self._segments = U.name_segments(clustered)
+            self._segments = U.name_segments(clustered).persist()
         return {"segments": self._segments, "summary": U.segment_profile(self._segments)}
 
     # -- fraud --------------------------------------------------------------
@@ -105,6 +120,13 @@ class AnalyticsService:
     def model_status(self, kind: str) -> DataFrame:
         return self.registry.metrics(kind)
 
+    def confusion(self, kind: str) -> DataFrame:
+        return self.registry.confusion(kind)
+
+    def select_model(self, kind: str) -> None:
+        """The model that ``predict`` uses when none is named."""
+        self.registry.set_active(kind)
+
     def compare(self) -> DataFrame:
         rows = [self.registry.metrics(k) for k in FR.KINDS]
         return FR.compare_models(rows[0].unionByName(rows[1]))
@@ -114,4 +136,4 @@ class AnalyticsService:
         location); missing inputs take the form defaults. Adds the rule list."""
         model = self.registry.model(kind)
         scored = FR.score(model, requests)
-        return explain(model, scored, self.registry.classifier_path(model.kind))
+        return explain(model, scored)

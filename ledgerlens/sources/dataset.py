@@ -9,13 +9,13 @@ trained models are no longer offered.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.parse import infer_ts_format
 from ledgerlens.schema import TS
 from ledgerlens.session import shared_dir
 from ledgerlens.sources.csv import read_transactions
@@ -25,15 +25,30 @@ class DatasetError(ValueError):
     """Missing file or unsupported format."""
 
 
+MONTH = "month"
+
+
 class Dataset:
-    def __init__(self, spark: SparkSession, path: str, fmt: str):
+    def __init__(self, spark: SparkSession, path: str, fmt: str, ts_format: str | None = None):
         self.spark = spark
         self.path = path
         self.fmt = fmt
-        self.key = hashlib.sha1(f"{path}|{uuid.uuid4()}".encode()).hexdigest()[:12]
+        self.ts_format = ts_format
+        self.key = self._signature()
         self._clean: DataFrame | None = None
+        self._clean_format: str | None = None
+        self._months = False
         self.closed = False
 
+    def _signature(self) -> str:
+        """Names the data: path plus the listing's file names, sizes and times, so a reopened
+        dataset finds its models and a changed file does not. Only file metadata is
+        read, folded on the executors."""
+        files = (self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path)
+                 .select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h")))
+        n, total = files.agg(F.count(F.lit(1)), F.sum("h")).first()
+        return hashlib.sha1(f"{self.path}|{n}|{total}".encode()).hexdigest()[:12]
+
     # -- frames -------------------------------------------------------------
     def raw(self) -> DataFrame:
         if self.fmt == "csv":
@@ -41,32 +56,56 @@ class Dataset:
         return self.spark.read.parquet(self.path)
 
     def cleaned(self, ts_format: str | None = None) -> DataFrame:
-        """Cleaned dashboard frame, persisted (memory, spilling to disk) on first use."""
+        """Cleaned dashboard frame, persisted (memory, spilling to disk) on first use. The
+        timestamp pattern is ``ts_format``, else the dataset's, else the one its first
+        values have; asking for another pattern cleans anew."""
         self._check_open()
-        if self._clean is None:
-            from ledgerlens.operators.clean import clean_transactions
-
-            kw = {"ts_format": ts_format} if ts_format else {}
-            self._clean = clean_transactions(self.raw(), **kw).persist(StorageLevel.MEMORY_AND_DISK)
+        wanted = ts_format or self.ts_format
+        if self._clean is None or (ts_format and ts_format != self._clean_format):
+            frame, fmt = self._cleaned(wanted)
+            self._release()
+            self._clean, self._clean_format = frame.persist(StorageLevel.MEMORY_AND_DISK), fmt
         return self._clean
 
-    def materialize(self, path: str | None = None) -> DataFrame:
+    def _cleaned(self, ts_format: str | None) -> tuple[DataFrame, str]:
+        from ledgerlens.operators.clean import clean_transactions
+
+        raw = self.raw()
+        fmt = ts_format or infer_ts_format(raw, TS)
+        return clean_transactions(raw, ts_format=fmt), fmt
+
+    def materialize(self, path: str | None = None, ts_format: str | None = None) -> DataFrame:
         """Write the cleaned table once as parquet partitioned by month and read it back.
 
         The write cuts the lineage back to the CSV text (a lost executor then
-        re-reads parquet, not re-parses CSV) and later filters on time prune
-        whole month folders. The default location is under the shared
-        ``spark.checkpoint.dir``.
+        re-reads parquet, not re-parses CSV). Rows are dealt by month first, heavy months
+        over several tasks, so the number of files follows the data's size. The ``month``
+        column stays: ``between`` turns a time range into a predicate on it that prunes
+        folders. The default location is under the shared ``spark.checkpoint.dir``.
         """
         self._check_open()
-        out = path or shared_dir(self.spark, f"datasets/{self.key}/clean")
-        df = self.cleaned().withColumn("month", F.date_format(TS, "yyyy-MM"))
-        df.write.mode("overwrite").partitionBy("month").parquet(out)
-        fresh = self.spark.read.parquet(out).drop("month")
+        frame, fmt = self._cleaned(ts_format or self.ts_format)
+        out = path or shared_dir(self.spark, f"datasets/{self.key}-{hashlib.sha1(fmt.encode()).hexdigest()[:6]}/clean")
+        frame.withColumn(MONTH, F.date_format(TS, "yyyy-MM")).hint("rebalance", MONTH).write.mode("overwrite") \
+            .partitionBy(MONTH).parquet(out)
+        fresh = self.spark.read.parquet(out).withColumn(MONTH, F.col(MONTH).cast("string"))
         self._release()
-        self._clean = fresh
+        self._clean, self._clean_format, self._months = fresh, fmt, True
         return fresh
 
+    def between(self, start=None, stop=None) -> DataFrame:
+        """Cleaned rows from ``start`` up to before ``stop`` (either may be None)."""
+        out = self.cleaned()
+        for value, after in ((start, True), (stop, False)):
+            if value is None:
+                continue
+            at = F.lit(value).cast("timestamp_ntz")
+            out = out.where(F.col(TS) >= at if after else F.col(TS) < at)
+            if self._months:
+                month = F.date_format(at, "yyyy-MM")
+                out = out.where(F.col(MONTH) >= month if after else F.col(MONTH) <= month)
+        return out
+
     def registry_path(self) -> str:
         return shared_dir(self.spark, f"models/{self.key}")
 
@@ -74,7 +113,7 @@ class Dataset:
     def _release(self) -> None:
         if self._clean is not None:
             self._clean.unpersist()
-            self._clean = None
+            self._clean, self._clean_format, self._months = None, None, False
 
     def close(self) -> None:
         self._release()
@@ -85,7 +124,8 @@ class Dataset:
             raise DatasetError(f"dataset {self.path!r} was closed")
 
 
-def open_dataset(spark: SparkSession, path: str, previous: Dataset | None = None) -> Dataset:
+def open_dataset(spark: SparkSession, path: str, previous: Dataset | None = None,
+                 ts_format: str | None = None) -> Dataset:
     """Open ``path`` (``.csv`` file/folder or parquet); closes ``previous`` on success.
 
     Existence is checked by resolving the source (the reader lists the files
@@ -103,7 +143,7 @@ def open_dataset(spark: SparkSession, path: str, previous: Dataset | None = None
         reader.format(fmt).load(path).schema  # resolves the file listing only
     except AnalysisException as e:
         raise DatasetError(f"dataset not found: {path}") from e
-    ds = Dataset(spark, path, fmt)
+    ds = Dataset(spark, path, fmt, ts_format)
     if previous is not None:
         previous.close()
     return ds

@@ -43,6 +43,25 @@ def read_db_table(spark: SparkSession, url: str, table: str, properties: dict |
         raise TableMissing(f"table {table!r} is not readable: {e}") from e
 
 
+def latest_n_from_db(spark: SparkSession, url: str, table: str, ts_col: str, n: int, cols: list[str] | None = None,
+                     tie_col: str | None = None, properties: dict | None = None) -> DataFrame:
+    """Newest ``n`` rows of a database table; order, limit and projection run in the
+    database, so ``n`` rows travel. Names are quoted."""
+    try:
+        return spark.read.options(**jdbc_options(url, top_n_query(table, ts_col, n, cols, tie_col), properties)).format("jdbc").load()
+    except AnalysisException as e:
+        raise TableMissing(f"table {table!r} is not readable: {e}") from e
+
+
+def top_n_query(table: str, ts_col: str, n: int, cols: list[str] | None = None, tie_col: str | None = None) -> str:
+    """The derived table of ``latest_n_from_db``."""
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    keys = [f"{quoted(c)} DESC NULLS LAST" for c in (ts_col, tie_col) if c]
+    what = ", ".join(map(quoted, cols)) if cols else "*"
+    name = ".".join(map(quoted, table.split(".")))
+    return f"(SELECT {what} FROM {name} ORDER BY {', '.join(keys)} LIMIT {int(n)}) AS latest"
+
+
 def jdbc_options(url: str, table: str, properties: dict | None = None) -> dict[str, str]:
     """Options for ``spark.read.format('jdbc')`` (no connection is opened here)."""
     opts = {"url": url, "dbtable": table, "fetchsize": "10000"}
@@ -55,7 +74,11 @@ def _json_ready(df: DataFrame) -> list:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            # a fraction where there is one, an offset where the type has a zone
+            zone = "xxx" if isinstance(f.dataType, T.TimestampType) else ""
+            whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss" + zone)
+            c = F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(
+                F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" + zone))
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, T.DecimalType):
