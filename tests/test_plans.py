@@ -59,8 +59,12 @@ def test_service_facade(spark, tmpdir_path):
     assert len(out) == 2 and all(len(r.rules) >= 1 for r in out)
     assert out[0].is_fraud_pred == 1 and out[1].is_fraud_pred == 0
     old_registry = svc.registry.root
-    svc.change_dataset(path)
+    other = os.path.join(tmpdir_path, "other.csv")
+    write_transactions_csv(fx.tx_raw(spark, SF001), other)
+    svc.change_dataset(other)
     assert svc.registry.root != old_registry and not svc.registry.is_trained("decision_tree")
+    svc.change_dataset(path)                       # the same files again: their models are found
+    assert svc.registry.root == old_registry and svc.registry.is_trained("decision_tree")
 
 
 def test_service_materialized(spark, tmpdir_path):
