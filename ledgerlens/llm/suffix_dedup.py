@@ -39,10 +39,12 @@ from ledgerlens.llm.common import BYTE_CODE, map_arrow, materialize, mix, powers
 
 LENGTH, GRAM = 100, 24
 LEFT = LENGTH - GRAM                   # bytes before an anchor that a window can hold
-TASK_BYTES = 64 << 20                  # texts' bytes behind one part of the anchor exchange
-RUN_BYTES = 24 << 20                   # contexts of one merge task
-FLUSH = 160_000                        # contexts sorted as one run
+TASK_BYTES = 16 << 20                  # texts' bytes behind one part of the anchor exchange
+RUN_BYTES = 3 << 20                    # contexts of one merge task
+FLUSH = 40_000                         # contexts sorted as one run
+HELD = 300_000                         # anchors reduced and sent together
 HOT = 100_000                          # places of one anchor that one merge task takes
+SLICE = 256 << 10                      # texts' bytes hashed at once
 SIEVE_BITS, PROBES = (16, 27), 4
 LAST = (1 << 63) - 1                   # stands for a null id in the order
 
@@ -109,7 +111,7 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
             return _pack(part, [h, t, n.astype(np.int32)], ["h", "t", "n"], parts)
 
         held = 0
-        for b in slices(batches):
+        for b in slices(batches, max_bytes=SLICE):
             pos, row, h = anchors(*utf8(b.column(1)))
             if not len(pos):
                 continue
@@ -119,12 +121,9 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
             again = np.append(False, (h[1:] == h[:-1]) & (row[1:] == row[:-1]))
             kept.append((h, np.where(again, ~text, text), np.ones(len(h), np.int64)))   # a text's second place counts as another
             held += len(h)
-            if held > 2_000_000:
-                kept = [reduced(kept)]
-                held = len(kept[0][0])
-                if held > 1_500_000:
-                    yield emit(kept)
-                    kept, held = [], 0
+            if held > HELD:
+                yield emit(kept)
+                kept, held = [], 0
         if kept:
             yield emit(kept)
 
@@ -288,7 +287,7 @@ def runs(docs: DataFrame, filter_: np.ndarray, hot: np.ndarray, parts: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in slices(batches, max_bytes=1 << 20):
+        for b in slices(batches, max_bytes=SLICE):
             data, off = utf8(b.column(2))
             pos, row, h = anchors(data, off)
             ok = in_sieve(filter_, h)
@@ -423,8 +422,12 @@ def merged_spans(packed: DataFrame) -> DataFrame:
             parts += [decode_run([x[i].as_py() for x in cols]) for i in range(b.num_rows)]
         run_, place, lcp = merge([p[0].tolist() for p in parts], [p[1] for p in parts])
         first = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])])
-        c = Contexts.concat([p[2] for p in parts]).take(first[np.array(run_, np.int64)] + np.array(place, np.int64))
-        at, lo, hi = repeated_spans(c, np.array(lcp))
+        found = [p[2] for p in parts]
+        del parts                                       # the suffixes as bytes are no longer needed
+        c = Contexts.concat(found)
+        del found
+        c = c.take(first[np.array(run_, np.int64)] + np.array(place, np.int64))
+        at, lo, hi = repeated_spans(c, np.array(lcp, np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(c.doc[at]), pa.array(c.key[at]), pa.array(lo), pa.array(hi)],
                                          ["doc", "key", "lo", "hi"])
 
