@@ -15,7 +15,9 @@ ranks shingles by a fixed-size table of corpus counts, so very common shingles c
 Lists are not expanded into all pairs. Each list's first member (the one with the fewest
 rarer shingles) is compared with all others; verified links are contracted into
 components, and only lists that still hold two components are compared across components.
-No link between components is lost, so the components are exact.
+No link between components is lost, so the components are exact. Candidate pairs are
+first tried on small parity bitmaps (256 bits inside the join, n/2 bits after it), whose distance never exceeds the sets' difference; the
+sets of the rest are fetched and compared in full.
 
 Defined results: a text without words (or null) has size 0 and no links; with fewer words
 than the shingle length the whole sequence is the only shingle; null ids belong to
@@ -43,7 +45,8 @@ SHINGLE, PERCENT = 4, 85
 COUNTERS, BLOCK = 1 << 20, 1 << 14      # the table of shingle counts, and its slice per row
 LIST_COST = 4                           # a listed shingle's cost in enumerated subsets
 MAX_LIGHT = 24                          # above it the subsets of one set alone exceed thousands
-SIEVE_BITS = 20
+SIEVE_BITS = 22
+LAST = (1 << 63) - 1                    # stands for a null id in joins
 
 
 def need(a, b, percent: int = PERCENT):
@@ -70,6 +73,10 @@ def light_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return min(range(MAX_LIGHT + 1), key=cost)
 
 
+def _doc():
+    return F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc")
+
+
 class Sets:
     """Sorted distinct shingle hashes of the rows of a slice."""
 
@@ -144,10 +151,35 @@ def order_classes(described: DataFrame) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(total / mean, 1))), 0, 15).astype(np.uint8)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Parities of the set's counts in n/2 (a power of two, 64 at least) residues."""
+    size = 1 << max(6, (len(s) - 1).bit_length() - 1)
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+FOLDS = ("f0", "f1", "f2", "f3")
+
+
+def folds(s: np.ndarray) -> np.ndarray:
+    """Parities in 256 residues as four integers, for use inside a join condition."""
+    return np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Residues whose parities differ: no more than the sets' symmetric difference. Halves
+    are folded until both have the same residues."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2:]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2:]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def candidate_keys(docs: DataFrame, k: int, classes: np.ndarray, light: int, percent: int) -> DataFrame:
     """Per row ``doc_id, sig`` and its packed candidate keys with positions: subset hashes
     of light sets (position -1), listed shingles of heavy sets and of light sets that a
-    heavy one may link to."""
+    heavy one may link to; and the set's parities."""
     floor = -(-percent * (light + 1) // 100)        # least size that links to a heavy set
 
     def subsets(s: np.ndarray) -> np.ndarray:
@@ -166,17 +198,21 @@ def candidate_keys(docs: DataFrame, k: int, classes: np.ndarray, light: int, per
             rank = classes[(s.hash >> np.uint64(44)).astype(np.int64)]
             order = np.lexsort((s.hash, rank, s.row))
             ranked = s.hash[order]
-            keys, places = [], []
+            keys, places, bits = [], [], []
+            fold = np.array([folds(s.of(i)) for i in range(b.num_rows)], np.int64).reshape(-1, 4)
             for i, n in enumerate(s.size.tolist()):
                 listed = ranked[s.first[i]: s.first[i] + prefix(n, percent)] if n >= floor and n else ranked[:0]
                 part = subsets(s.of(i)) if 0 < n <= light else ranked[:0]
                 keys.append(np.concatenate([listed, part]).tobytes())
                 places.append(np.concatenate([np.arange(len(listed)), np.full(len(part), -1)]).astype(np.int32).tobytes())
+                bits.append(parity(s.of(i)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(s.signatures(), pa.binary()), pa.array(keys, pa.binary()), pa.array(places, pa.binary())],
-                ["doc_id", "sig", "keys", "places"])
+                [b.column(0), pa.array(s.signatures(), pa.binary()), pa.array(keys, pa.binary()), pa.array(places, pa.binary()),
+                 pa.array(bits, pa.binary()), *(pa.array(fold[:, j]) for j in range(4))],
+                ["doc", "sig", "keys", "places", "bits", *FOLDS])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, sig binary, keys binary, places binary")
+    return map_arrow(docs.select(_doc(), "text"), run, "doc long, sig binary, keys binary, places binary, bits binary, "
+                     "f0 long, f1 long, f2 long, f3 long")
 
 
 def unpack(packed: DataFrame) -> DataFrame:
@@ -188,7 +224,7 @@ def unpack(packed: DataFrame) -> DataFrame:
                 keys = [np.frombuffer(x.as_py(), np.int64) for x in p.column(2)]
                 count = [len(x) for x in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys) >> 8), pa.array(np.repeat(np.asarray(p.column(0)), count)),
+                    [pa.array(np.concatenate(keys).view(np.uint64) >> np.uint64(16)).cast(pa.int64()), pa.array(np.repeat(np.asarray(p.column(0)), count)),
                      pa.array(np.repeat(np.asarray(p.column(1)), count)),
                      pa.array(np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in p.column(3)]))],
                     ["key", "cid", "n", "pos"])
@@ -197,18 +233,22 @@ def unpack(packed: DataFrame) -> DataFrame:
                      "key long, cid long, n int, pos int")
 
 
+def _least(percent: int) -> str:
+    return f"cast(ceil({percent} * (x.n + y.n) / {100 + percent}.0) as int)"
+
+
 def _possible(percent: int, light: int) -> str:
     """Whether list entries x and y can be a link by size and position."""
-    least = f"cast(ceil({percent} * (x.n + y.n) / {100 + percent}.0) as int)"
+    least = _least(percent)
     return (f"x.cid <> y.cid and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and "
             f"(x.pos < 0 or (greatest(x.n, y.n) > {light} and x.n - x.pos >= {least} and y.n - y.pos >= {least}))")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``cid, items`` (packed sorted hashes) of the wanted classes ``(cid, doc_id, sig)``.
+    """``cid, items`` (packed sorted hashes) of the wanted classes ``(cid, doc, sig)``.
     A fixed-size sieve of their ids keeps most other texts out of the exchange."""
     size = 1 << SIEVE_BITS
-    slot = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(size)).cast("int")
+    slot = lambda: F.pmod(F.xxhash64("doc"), F.lit(size)).cast("int")
     sieve = np.zeros(size, bool)
     sieve[[r[0] for r in wanted.select(slot().alias("s")).distinct().collect()]] = True
 
@@ -219,15 +259,33 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 s = Sets(p.column(1), k)
                 yield pa.RecordBatch.from_arrays(
                     [p.column(0), pa.array(s.signatures(), pa.binary()),
-                     pa.array([s.of(i).tobytes() for i in range(p.num_rows)], pa.binary())], ["doc_id", "sig", "items"])
+                     pa.array([s.of(i).tobytes() for i in range(p.num_rows)], pa.binary())], ["doc", "sig", "items"])
+
+    rows = docs.select(_doc(), "text").withColumn("slot", slot())
+    sets = map_arrow(rows, run, "doc long, sig binary, items binary")
+    return sets.join(wanted, ["doc", "sig"]).dropDuplicates(["doc", "sig"]).select("cid", "items")
+
+
+def prune(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parities do not already rule out a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c, m, n, x, y = (b.column(i) for i in range(6))
+            keep = [parity_distance(p, q) <= i + j - 2 * need(i, j, percent)
+                    for i, j, p, q in zip(m.to_pylist(), n.to_pylist(), x.to_pylist(), y.to_pylist())]
+            yield pa.RecordBatch.from_arrays([a, c], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c, n, bits: packed.select(F.col("cid").alias(c), F.col("n").alias(n), F.col("bits").alias(bits))
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return map_arrow(both.select("a", "b", "m", "n", "x", "y"), run, "a long, b long")
 
-    sets = map_arrow(docs.select("doc_id", "text", slot().alias("slot")), run, "doc_id long, sig binary, items binary")
-    same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["sig"] == wanted["sig"])
-    return sets.join(wanted, same).select("cid", "items").dropDuplicates(["cid"])
 
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets really are similar enough. Only the sets of classes in
+    some pair are fetched."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = materialize(shingle_sets(docs, classes.join(ids, "cid").select("cid", "doc", "sig"), k), "jaccard-sets")
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets really are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -248,13 +306,13 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     non-empty set ``cid, sig, root`` where classes of one component share the root."""
     described = materialize(describe(docs, k), "jaccard-rows")
     rows = described.filter("block is null").select("doc_id", "row_key", "n", "sig")
-    grouped = (rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    grouped = rows.filter("n > 0").groupBy("sig").agg(F.min(_doc()).alias("doc"), F.first("n").alias("n"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"), "jaccard-classes")
     sizes = {r.n: r["count"] for r in classes.groupBy("n").count().collect()}    # one row per distinct size
     light = light_boundary(sizes, percent)
     keyed = candidate_keys(docs, k, order_classes(described), light, percent).filter("octet_length(keys) > 0")
-    same = keyed["doc_id"].eqNullSafe(classes["doc_id"]) & (keyed["sig"] == classes["sig"])
-    packed = materialize(keyed.join(classes, same).select("cid", "n", "keys", "places").dropDuplicates(["cid"]), "jaccard-keys")
+    packed = materialize(keyed.join(classes, ["doc", "sig"]).dropDuplicates(["doc", "sig"])
+                         .select("cid", "n", "bits", *FOLDS, "keys", "places"), "jaccard-keys")
 
     entries = unpack(packed)
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
@@ -265,9 +323,8 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
             .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct())
     star = materialize(star, "jaccard-star")
 
-    wanted = lists.select("cid").distinct().join(classes, "cid").select("cid", "doc_id", "sig")
-    sets = materialize(shingle_sets(docs, wanted, k), "jaccard-sets")
-    links = materialize(verify(star, sets, percent), "jaccard-links")
+    links = materialize(verify(materialize(prune(star, packed, percent), "jaccard-likely"), docs, classes, k, percent),
+                        "jaccard-links")
     roots = materialize(components(links), "jaccard-roots")
 
     # lists that still hold two components: every possible pair across components
@@ -275,12 +332,15 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
         "key", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
     labelled = materialize(labelled, "jaccard-labelled")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    left = labelled.join(mixed, "key", "left_semi")
+    left = materialize(labelled.join(mixed, "key", "left_semi").join(packed.select("cid", *FOLDS), "cid"), "jaccard-mixed")
+    apart = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in FOLDS)      # at most the sets' difference
     cross = (left.alias("x").join(left.alias("y"), "key").filter("x.root < y.root and " + possible)
+             .filter(f"{apart} <= x.n + y.n - 2 * {_least(percent)}")
              .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
              .join(star, ["a", "b"], "left_anti"))
-    more = materialize(verify(cross, sets, percent), "jaccard-more")
-    if more.head(1):
+    cross = materialize(prune(cross, packed, percent), "jaccard-cross")
+    more = materialize(verify(cross, docs, classes, k, percent), "jaccard-more") if cross.head(1) else None
+    if more is not None and more.head(1):
         roots = components(links.unionByName(more))
     found = classes.join(roots.withColumnRenamed("v", "cid"), "cid", "left")
     return rows, found.select("cid", "sig", F.coalesce("root", "cid").alias("root"))
