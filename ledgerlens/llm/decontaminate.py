@@ -2,10 +2,12 @@
 
 Words are compared without ASCII signs and case. Every ``SEED``-word window of a test
 item is a seed. A first pass counts in how many documents each seed occurs; seeds far
-more common than their item's others and than the corpus at large are left out. In the
-second pass a remaining seed found in a document names a region of the item's length
+more common than their item's others and than the corpus at large are common, the others
+rare. In the second pass every seed found in a document names a region of the item's length
 around it, and the region is aligned with the item (match +1, mismatch and gap -0.1).
-Alignment score / item words is the similarity; ``THRESHOLD`` or more is a leak.
+Alignment score / item words is the similarity; ``THRESHOLD`` or more is a leak. A document
+that shares only common seeds with an item is spared the alignment where it holds too few
+of the item's words for a leak, whatever their order: rarity saves work, it decides nothing.
 
 Test items are the stated query set: they are handled in blocks of about ``BLOCK_ITEMS``,
 each shipped to all tasks; the corpus is scanned, never shuffled.
@@ -19,7 +21,7 @@ an empty benchmark a clean one; input columns are carried by position, so none c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import PUNCTUATION, Words, map_arrow, slices
+from ledgerlens.llm.common import PUNCTUATION, Words, map_arrow, mix, slices
 
 SEED = 3
 THRESHOLD = 0.8
@@ -38,6 +40,7 @@ COMMON_SHARE = 0.001                # a seed in no more of the documents is rare
 COMMON_TIMES = 8                    # times its item's median
 SIEVE_BITS = 18
 PAIRS = 2048                        # alignments computed at once
+HITS = 1 << 20                      # seed hits held at once
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,7 @@ class Block:
     seed: np.ndarray
     seed_item: np.ndarray
     seed_pos: np.ndarray
+    rare: np.ndarray
 
     @classmethod
     def of(cls, rows: list) -> Block:
@@ -60,16 +64,15 @@ class Block:
         ok = long_enough[item]
         order = np.argsort(h[ok], kind="stable")
         return cls(np.array([r.item_id for r in rows], np.int64), w.hash, w.first,
-                   h[ok][order], item[ok][order], pos[ok][order])
+                   h[ok][order], item[ok][order], pos[ok][order], np.ones(len(order), bool))
 
-    def rare(self, df: dict[int, int], n_docs: int) -> Block:
-        """Only the seeds that are rare in the corpus or for their item."""
+    def with_rarity(self, df: dict[int, int], n_docs: int) -> Block:
+        """The seeds that are rare in the corpus or for their item marked as such."""
         count = np.array([df.get(int(np.int64(x)), 0) for x in self.seed.view(np.int64)], np.int64)
         median = np.zeros(len(self.item_id))
         for i in np.unique(self.seed_item):
             median[i] = np.median(count[self.seed_item == i])
-        ok = count <= np.maximum(COMMON_SHARE * n_docs, COMMON_TIMES * median[self.seed_item])
-        return Block(self.item_id, self.words, self.first, self.seed[ok], self.seed_item[ok], self.seed_pos[ok])
+        return replace(self, rare=count <= np.maximum(COMMON_SHARE * n_docs, COMMON_TIMES * median[self.seed_item]))
 
 
 def _hits(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,17 +103,45 @@ def align(regions: np.ndarray, items: np.ndarray) -> np.ndarray:
     return best
 
 
+def words_held(w: Words, block: Block, row: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """How many words of the item occur anywhere in the row, per pair."""
+    held = np.unique(mix(w.hash + mix(w.row.astype(np.uint64))))
+    size, out = np.diff(block.first)[item], np.zeros(len(row), np.int64)
+    for a in range(0, len(row), PAIRS):
+        n = size[a: a + PAIRS]
+        pair = np.repeat(np.arange(len(n)), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        want = mix(block.words[block.first[item[a: a + PAIRS]][pair] + k] + mix(row[a: a + PAIRS].astype(np.uint64))[pair])
+        found = held[np.minimum(np.searchsorted(held, want), len(held) - 1)] == want
+        out[a: a + PAIRS] = np.bincount(pair, found, minlength=len(n))
+    return out
+
+
 def _candidates(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, item, diagonal/8) of all seed hits; the diagonal is where the
-    item's first word would stand in the document."""
+    item's first word would stand in the document. Pairs of a row and an item without a
+    rare seed stay where the row holds words enough for a leak."""
     at, lo, hi = _hits(w, block)
     n = hi - lo
-    which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else lo
-    pos = np.repeat(at, n)
-    row, item = w.row[pos], block.seed_item[which]
-    diagonal = (pos - w.first[row] - block.seed_pos[which]) >> 3
-    got = np.unique(np.stack([row, item, diagonal]), axis=1) if len(row) else np.zeros((3, 0), np.int64)
-    return got[0], got[1], got[2] << 3
+    total, parts, a = np.cumsum(n), [], 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, side="right")))
+        m = n[a:b]
+        which = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        pos = np.repeat(at[a:b], m)
+        diagonal = (pos - w.first[w.row[pos]] - block.seed_pos[which]) >> 3
+        parts.append(np.unique(np.stack([w.row[pos], block.seed_item[which], diagonal, block.rare[which]]), axis=1))
+        a = b
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
+    row, item, diagonal, rare = np.unique(np.concatenate(parts, axis=1), axis=1)
+    first = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))
+    pair, start = np.cumsum(first) - 1, np.flatnonzero(first)
+    ok = np.maximum.reduceat(rare, start) > 0
+    common = start[~ok]
+    ok[~ok] = words_held(w, block, row[common], item[common]) >= THRESHOLD * np.diff(block.first)[item[common]] - 1e-9
+    keep = ok[pair] & np.append(True, first[1:] | (diagonal[1:] != diagonal[:-1]))
+    return row[keep], item[keep], diagonal[keep] << 3
 
 
 def scan_slice(column: pa.Array, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +215,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         {"item_id": F.lit(None).cast("long"), "similarity": F.lit(0.0), "n_items": F.lit(0).cast("long")})
     for rows in _blocks(benchmark):
         block = Block.of(rows)
-        block = block.rare(*seed_frequencies(docs, block))
+        block = block.with_rarity(*seed_frequencies(docs, block))
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, f"c{text}"):

@@ -90,3 +90,24 @@ def test_edges(spark, edges, edge_rows, nothing):
     assert D.scan(nothing, bench).count() == 0
     none = spark.createDataFrame([], BENCH)
     assert D.scan(edges, none).filter("n_items > 0").count() == 0
+
+
+def test_edited_copies_are_found_in_any_number_of_documents(spark):
+    """Words 4 and 8 of 11 replaced (0.8, a leak): most seeds of the item occur nowhere,
+    so those that are left are more common than its median of 0."""
+    rng = random.Random(6)
+    item = ["i%d" % k for k in range(11)]
+    edited = " ".join([*item[:3], "x", *item[4:7], "y", *item[8:]])
+    bench = spark.createDataFrame([(1, " ".join(item), "e")], BENCH)
+    for n, copies, exact in ((1, 1, 0), (100, 1, 0), (100, 40, 1), (3000, 30, 0)):
+        docs = [(d, " ".join([*words(rng, 6), *([edited] if d < copies else []), *([" ".join(item)] if copies <= d < copies + exact else [])]))
+                for d in range(n)]
+        got = D.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench).filter("n_items > 0").collect()
+        assert {r.c0: r.similarity for r in got} == {d: 0.8 if d < copies else 1.0 for d in range(copies + exact)}
+
+
+def test_common_seeds_of_clean_documents_cost_no_alignment(spark):
+    item = ["i%d" % k for k in range(30)]
+    docs = [(d, " ".join([*item[:4], "z%d" % d])) for d in range(50)]
+    bench = spark.createDataFrame([(1, " ".join(item), "e")], BENCH)
+    assert D.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench).filter("n_items > 0 or similarity > 0").count() == 0
