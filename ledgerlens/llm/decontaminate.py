@@ -3,8 +3,11 @@
 Words are compared without ASCII signs and case. Every ``SEED``-word window of a test
 item is a seed. A first pass counts in how many documents each seed occurs; seeds far
 more common than their item's others and than the corpus at large are common, the others
-rare. In the second pass every seed found in a document names a region of the item's length
-around it, and the region is aligned with the item (match +1, mismatch and gap -0.1).
+rare. In the second pass every seed found in a document names a region around it: the
+item's length and, on each side, as many words more as the gap cost lets a leak insert
+(``(1 - THRESHOLD) * MATCH / -GAP`` times the item's length where the document holds all its
+words). Regions of one item that meet are joined, and each is aligned with the item (match
++1, mismatch and gap -0.1).
 Alignment score / item words is the similarity; ``THRESHOLD`` or more is a leak. A document
 that shares only common seeds with an item is spared the alignment where it holds too few
 of the item's words for a leak, whatever their order: rarity saves work, it decides nothing.
@@ -39,7 +42,7 @@ BLOCK_ITEMS = 10_000
 COMMON_SHARE = 0.001                # a seed in no more of the documents is rare anyway
 COMMON_TIMES = 8                    # times its item's median
 SIEVE_BITS = 18
-PAIRS = 2048                        # alignments computed at once
+PAIRS, CELLS = 2048, 1 << 18        # alignments computed at once, and words of their regions
 HITS = 1 << 20                      # seed hits held at once
 
 
@@ -117,10 +120,10 @@ def words_held(w: Words, block: Block, row: np.ndarray, item: np.ndarray) -> np.
     return out
 
 
-def _candidates(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, item, diagonal/8) of all seed hits; the diagonal is where the
-    item's first word would stand in the document. Pairs of a row and an item without a
-    rare seed stay where the row holds words enough for a leak."""
+def _regions(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, first word, end) of the regions to align, from the diagonals of all seed
+    hits; the diagonal is where the item's first word would stand in the document. Pairs of
+    a row and an item without a rare seed stay where the row holds words enough for a leak."""
     at, lo, hi = _hits(w, block)
     n = hi - lo
     total, parts, a = np.cumsum(n), [], 0
@@ -133,35 +136,43 @@ def _candidates(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndar
         parts.append(np.unique(np.stack([w.row[pos], block.seed_item[which], diagonal, block.rare[which]]), axis=1))
         a = b
     if not parts:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     row, item, diagonal, rare = np.unique(np.concatenate(parts, axis=1), axis=1)
     first = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))
     pair, start = np.cumsum(first) - 1, np.flatnonzero(first)
-    ok = np.maximum.reduceat(rare, start) > 0
-    common = start[~ok]
-    ok[~ok] = words_held(w, block, row[common], item[common]) >= THRESHOLD * np.diff(block.first)[item[common]] - 1e-9
-    keep = ok[pair] & np.append(True, first[1:] | (diagonal[1:] != diagonal[:-1]))
-    return row[keep], item[keep], diagonal[keep] << 3
+    m = np.diff(block.first)[item[start]]
+    # words a leak can insert: each costs -GAP of what its matches bring above the threshold
+    room = np.floor((MATCH * words_held(w, block, row[start], item[start]) - THRESHOLD * MATCH * m) / -GAP + 1e-9)
+    ok = (np.maximum.reduceat(rare, start) > 0) | (room >= 0)
+    pad = np.maximum(m // 4 + 2, room.astype(np.int64))
+    keep = ok[pair]
+    row, item, diagonal, pair = row[keep], item[keep], diagonal[keep] << 3, pair[keep]
+    begin = np.maximum(diagonal - pad[pair], 0)
+    stop = np.minimum(diagonal + 8 + m[pair] + pad[pair], w.count[row])
+    head = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (begin[1:] > stop[:-1]))[: len(row)])
+    return row[head], item[head], begin[head], stop[np.append(head[1:], len(row))[: len(head)] - 1]
 
 
 def scan_slice(column: pa.Array, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row: best item id (-1: none), its similarity, and the number of leaked items."""
     w = Words(column, True, PUNCTUATION)
-    row, item, diagonal = _candidates(w, block)
-    size = np.diff(block.first)
-    order = np.argsort(size[item], kind="stable")     # pairs of like length together
+    row, item, begin, stop = _regions(w, block)
+    size, width = np.diff(block.first)[item], stop - begin
+    order = np.lexsort((width, size // 8))            # pairs of like shape together
     similar = np.zeros(len(row))
     padded_words = np.append(w.hash, np.uint64(1))
     padded_items = np.append(block.words, np.uint64(0))
-    for a in range(0, len(order), PAIRS):
+    a = 0
+    while a < len(order):
         p = order[a: a + PAIRS]
-        m, pad = size[item[p]], size[item[p]] // 4 + 2
+        cells = np.maximum.accumulate(width[p]) * np.arange(1, len(p) + 1)
+        p = p[:max(1, int(np.searchsorted(cells, CELLS, side="right")))]
+        a += len(p)
+        m = size[p]
         k = np.arange(int(m.max()))
         items = padded_items[np.where(k < m[:, None], block.first[item[p]][:, None] + k, len(block.words))]
-        begin = np.maximum(diagonal[p] - pad, 0)
-        stop = np.minimum(diagonal[p] + 8 + m + pad, w.count[row[p]])
-        k = np.arange(max(1, int((stop - begin).max())))
-        regions = padded_words[np.where(k < (stop - begin)[:, None], (w.first[row[p]] + begin)[:, None] + k, len(w.hash))]
+        k = np.arange(max(1, int(width[p].max())))
+        regions = padded_words[np.where(k < width[p][:, None], (w.first[row[p]] + begin[p])[:, None] + k, len(w.hash))]
         similar[p] = align(regions, items) / (MATCH * m)
     n = len(w.count)
     leak = np.flatnonzero(similar >= THRESHOLD)

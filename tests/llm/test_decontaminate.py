@@ -111,3 +111,29 @@ def test_common_seeds_of_clean_documents_cost_no_alignment(spark):
     docs = [(d, " ".join([*item[:4], "z%d" % d])) for d in range(50)]
     bench = spark.createDataFrame([(1, " ".join(item), "e")], BENCH)
     assert D.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench).filter("n_items > 0 or similarity > 0").count() == 0
+
+
+def test_inserted_blocks_do_not_split_a_copy(spark):
+    """Words inserted in one or more places, up to what the gap cost lets pass, and beyond it."""
+    rng = random.Random(9)
+    items = [(i, words(rng, rng.randrange(12, 60))) for i in range(6)]
+    docs = [(0, [*words(rng, 30), *items[0][1][:6], *words(rng, 40), *items[0][1][6:]])]
+    for d in range(1, 80):
+        x = list(items[d % 6][1])
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(2, len(x) - 1)
+            x[at:at] = words(rng, rng.randrange(0, 2 * len(items[d % 6][1])))
+        if d % 3 == 0:
+            x[rng.randrange(len(x))] = "edit"
+        docs.append((d, [*words(rng, rng.randrange(60)), *x, *words(rng, rng.randrange(60))]))
+    item50 = ["u%d" % k for k in range(50)]
+    docs.append((80, [*item50[:25], *("v%d" % k for k in range(40)), *item50[25:]]))
+    items.append((50, item50))
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x), "e") for i, x in items], BENCH)
+    got = {r.c0: r for r in D.scan(df, bench).collect()}
+    want = {d: max(sw(x, t) / (10 * len(x)) for _, x in items) for d, t in docs}
+    assert {d for d, r in got.items() if r.n_items} == {d for d, s in want.items() if s >= 0.8}
+    assert all(abs(got[d].similarity - s) < 1e-12 for d, s in want.items() if s >= 0.8)
+    assert abs(got[80].similarity - 0.92) < 1e-12 and got[80].item_id == 50
+    assert sum(s < 0.8 for s in want.values()) > 5
