@@ -81,7 +81,7 @@ def test_user_analytics_and_export(spark, tmpdir_path):
 
     from ledgerlens.sources import fixtures as fx
 
-    from conftest import SF001
+    from paths import SF001
 
     df = fx.tx_o(spark, SF001)
     out = U.user_analytics(df)

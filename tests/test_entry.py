@@ -2,7 +2,7 @@ import duckdb
 
 import __spark_entry__ as E
 
-from conftest import SF001
+from paths import SF001
 
 FAST = ["b4_distributions", "a_summary", "b10_payment_category_flows", "u1_rfm", "c11_iqr_clip",
         "t1_baseline_forecast", "m6_classification_metrics", "g3_choropleth_class", "p2_page_three_desc"]

@@ -5,7 +5,7 @@ from ledgerlens.operators import fraud as FR
 from ledgerlens.operators.treerules import compile_tree, explain
 from ledgerlens.sources import fixtures as fx
 
-from conftest import SF01
+from paths import SF01
 
 
 @pytest.fixture(scope="module")

@@ -19,7 +19,7 @@ from ledgerlens.sources.csv import read_transactions, write_transactions_csv
 from ledgerlens.sources.dataset import open_dataset
 from ledgerlens.sources.tables import to_json_records, top_n_query
 
-from conftest import SF001
+from paths import SF001
 
 RAW = "Transaction_ID string, User_ID string, Amount_VND string, Timestamp string, Is_Fraud string"
 
@@ -128,7 +128,7 @@ def test_database_top_n_is_one_query():
 
 def test_nodes_come_from_the_models_text(spark):
     from ledgerlens.operators.fraud import fit_fraud_model
-    from conftest import SF01
+    from paths import SF01
     m = fit_fraud_model(fx.tx_fraud(spark, SF01), "decision_tree")
     nodes = tree_nodes(m.classifier)
     assert len(nodes) == m.classifier.numNodes

@@ -138,7 +138,7 @@ def test_day_without_user_ids_counts_as_zero(spark):
 def test_summary_approx_users_close_to_exact(spark):
     from ledgerlens.sources import fixtures as fx
 
-    from conftest import SF01
+    from paths import SF01
 
     df = fx.tx(spark, SF01)
     exact = M.summary(df).first()

@@ -2,7 +2,7 @@ from ledgerlens.plans.dashboard import dashboard, segmentation_page, transaction
 from ledgerlens.schema import FilterParams
 from ledgerlens.sources import fixtures as fx
 
-from conftest import SF001
+from paths import SF001
 
 
 def test_dashboard_plan(spark):
@@ -37,7 +37,7 @@ def test_service_facade(spark, tmpdir_path):
     from ledgerlens.plans.service import AnalyticsService
     from ledgerlens.sources.csv import write_transactions_csv
 
-    from conftest import SF01
+    from paths import SF01
 
     path = os.path.join(tmpdir_path, "tx.csv")
     write_transactions_csv(fx.tx_raw(spark, SF01), path)

@@ -3,7 +3,7 @@ products or nested-loop joins, and no Python evaluation anywhere."""
 
 import __spark_entry__ as E
 
-from conftest import SF001
+from paths import SF001
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas")

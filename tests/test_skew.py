@@ -9,7 +9,7 @@ from ledgerlens.operators import customers as U
 from ledgerlens.operators import metrics as M
 from ledgerlens.sources import fixtures as fx
 
-from conftest import SF01
+from paths import SF01
 
 
 def _hot(spark):

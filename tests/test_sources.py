@@ -10,7 +10,7 @@ from ledgerlens.sources.csv import read_transactions, write_transactions_csv
 from ledgerlens.sources.dataset import DatasetError, open_dataset
 from ledgerlens.sources.tables import jdbc_options, latest_n, to_json_records, write_json
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 
 
 def test_csv_round_trip(spark, tmpdir_path):

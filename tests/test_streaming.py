@@ -9,7 +9,7 @@ from ledgerlens.sources import fixtures as fx
 from ledgerlens.sources.csv import write_transactions_csv
 from ledgerlens.streaming import read_transaction_stream, scored_stream, start_sink
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 
 
 def test_stream_scoring_matches_batch(spark, tmpdir_path):
