@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, jaccard_join, langid, line_dedup, lm_score, quality, sentencepiece_scan, sharding, suffix_dedup, warc
+from ledgerlens.llm import decontaminate, jaccard_join, langid, line_dedup, lm_score, mixing, quality, sentencepiece_scan, sharding, suffix_dedup, warc
 from ledgerlens.llm.common import materialize, read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,27 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = sentencepiece_scan.decode(sentencepiece_scan.encode(docs))
     return back.select(F.col("c0").alias("doc_id"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
                        F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("c1")).alias("round_trip"))
+
+
+@query
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op11_mixing"] = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM d GROUP BY source),
+f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget, source_size::DOUBLE / weight AS ratio FROM s),
+lv AS (SELECT ratio, weight, source_size, (budget - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+lev AS (SELECT arg_min(level, ratio) AS level FROM lv WHERE level * weight <= 2 * source_size),
+t AS (SELECT f.source, source_size, CASE WHEN level IS NULL OR level * weight > 2 * source_size THEN 2.0::DOUBLE * source_size ELSE level * weight END AS target
+  FROM f, lev),
+p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS whole,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h, rid) - size AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(whole * size + greatest(0, least(size, round(target)::BIGINT - whole * source_size - before)) AS BIGINT) AS taken FROM p"""
