@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, jaccard_join, langid, line_dedup, lm_score, mixing, quality, sentencepiece_scan, sharding, suffix_dedup, warc
+from ledgerlens.llm import decontaminate, jaccard_join, langid, lexical, line_dedup, lm_score, mixing, quality, sentencepiece_scan, sharding, suffix_dedup, warc
 from ledgerlens.llm.common import materialize, read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,22 @@ p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN round(targ
     sum(size) OVER (PARTITION BY d.source ORDER BY h, rid) - size AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   CAST(whole * size + greatest(0, least(size, round(target)::BIGINT - whole * source_size - before)) AS BIGINT) AS taken FROM p"""
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLE["op12_lexical_search"] = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS t FROM documents),
+c AS (SELECT count(*) FILTER (WHERE len(t) > 0)::BIGINT AS nd, sum(len(t))::BIGINT AS nt FROM d),
+tf AS (SELECT rid, doc_id, n, g, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, len(t)::BIGINT AS n, unnest(t) AS g FROM d) GROUP BY ALL),
+w AS (SELECT g, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY g, nd),
+q AS (SELECT qid, item_id, unnest(list_distinct(t)) AS g FROM (SELECT row_number() OVER () AS qid, item_id, {_TERMS} AS t FROM benchmark)),
+s AS (SELECT qid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nd) // nt)))))::BIGINT AS score
+  FROM q JOIN tf USING (g) JOIN w USING (g), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""
