@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, jaccard_join, langid, lexical, line_dedup, lm_score, mixing, quality, sentencepiece_scan, sharding, suffix_dedup, warc
+from ledgerlens.llm import decontaminate, jaccard_join, langid, lexical, line_dedup, lm_score, mixing, prefix_trie, quality, sentencepiece_scan, sharding, suffix_dedup, warc
 from ledgerlens.llm.common import materialize, read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,29 @@ s AS (SELECT qid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf
   FROM q JOIN tf USING (g) JOIN w USING (g), c GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda r, x: list_reduce(list_prepend(xor(r, x), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))))"""
+
+ORACLE["op13_prefix_trie"] = f"""WITH t AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, l, CAST({_CRC32} % 6 AS BIGINT) AS h FROM t),
+s AS (SELECT h.c, list_concat(coalesce(b.l[1:h], []), h.l[h + 1:]) AS s FROM h LEFT JOIN t b ON b.c = h.c - h.c % 100),
+m AS (SELECT c, d, s[1:d] AS p, s[1:d - 1] AS q, CASE WHEN d > 0 THEN length(s[d].t) ELSE 0 END AS k, d = len(s) AS e
+  FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM s)),
+n AS (SELECT p, any_value(CASE WHEN d > 0 THEN q END) AS q, min(c) AS conv_id, d AS depth, count(*) AS n, any_value(k) AS k,
+    string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE e) AS ends FROM m GROUP BY p, d),
+i AS (SELECT *, row_number() OVER () AS id FROM n),
+kids AS (SELECT q AS p, count(*) AS n_children FROM n WHERE q IS NOT NULL GROUP BY q),
+x AS (SELECT i.*, parent.conv_id AS parent_conv_id, coalesce(n_children, 0) AS n_children FROM i LEFT JOIN i parent ON parent.p = i.q LEFT JOIN kids ON kids.p = i.p),
+g AS (SELECT m.c, x.id, x.depth, x.n, x.k, x.n_children FROM m JOIN x ON x.p = m.p),
+sub AS (SELECT DISTINCT a.id AS top, b.id, b.n, b.k, b.n_children FROM g a JOIN g b ON a.c = b.c AND b.depth >= a.depth),
+tot AS (SELECT top, sum((n - 1) * k) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM sub GROUP BY top)
+SELECT conv_id, depth, parent_conv_id, n AS n_convs, n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(ends, '')) AS ends_sha256 FROM x JOIN tot ON tot.top = x.id"""
