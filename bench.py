@@ -78,10 +78,11 @@ def suite(spark, sf_dir: str, cpus: int) -> dict[str, float]:
     timed("top_users", lambda: run(U.top_users(U.rfm(txo), txo, 10)))
 
     def segments():
-        _, clustered = U.fit_segments(U.rfm(txo))
+        _, clustered = U.fit_segments(U.rfm(txo), keep=True)
         seg = U.name_segments(clustered)
         run(U.segment_totals(seg))
         run(U.segment_profile(seg))
+        clustered.unpersist()
     timed("kmeans_segments", segments)
 
     models = {}

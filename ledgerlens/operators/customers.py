@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import money, trunc_to_long
+from ledgerlens.operators.kmeans import Clustering, fit_restarts
 from ledgerlens.schema import (
     AMOUNT, KMEANS_K, KMEANS_RESTARTS, MODEL_SEED, PAYMENT, SEGMENT_NAMES, TS, TX_ID, USER_ID,
 )
@@ -56,50 +53,38 @@ def rfm_scaled(rfm_df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def fit_segments(rfm_df: DataFrame, k: int = KMEANS_K, n_init: int = KMEANS_RESTARTS,
-                 seed: int = MODEL_SEED, max_iter: int = 300, parallelism: int | None = None,
-                 partitions: int | None = None, path: str | None = None):
+                 seed: int = MODEL_SEED, max_iter: int = 300, path: str | None = None,
+                 keep: bool = False) -> tuple[Clustering, DataFrame]:
     """K-Means on the scaled RFM vectors, ``n_init`` restarts (seeds
-    ``seed … seed+n_init-1``), keeping the lowest training cost.
-
-    The vectors are computed once and persisted in the partitions the RFM shuffle
-    left (``partitions`` deals them anew where a caller wants another number). Every
-    K-Means iteration is a pass over them, so the restarts are submitted together from a
-    thread pool: their jobs overlap on the cluster instead of queuing behind each other.
-    Returns ``(model, frame with Cluster)``; the frame is written to ``path`` and read back
-    if one is given (the caller owns that folder), else it is computed when used.
+    ``seed … seed+n_init-1``) fitted together (one job per step), keeping the lowest cost.
+
+    The scaled rows are persisted for the fit in partitions of the session's advisory size,
+    so a small table is a few tasks and a large one as many as it needs. Returns ``(clustering,
+    frame with Cluster)``. The frame is computed from the RFM rows when used; with ``path`` it
+    is written there and read back (the caller owns that folder), with ``keep`` it stays
+    persisted until the caller unpersists it.
     """
+    cols = [f"{c}_scaled" for c in RFM_COLS]
     scaled = rfm_scaled(rfm_df)
-    vec = VectorAssembler(inputCols=[f"{c}_scaled" for c in RFM_COLS], outputCol="features")
-    data = vec.transform(scaled)
-    if partitions:
-        data = data.repartition(partitions, USER_ID)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = scaled.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_users = data.count()
         if n_users < k:
             raise TooFewUsers(f"{n_users} users cannot form {k} clusters")
-
-        # Stopping rule: the reference library stops once the summed squared
-        # centre shift is <= 1e-4 x mean feature variance (1 after scaling);
-        # Spark checks each centre's shift, so sqrt(1e-4 / k) per centre
-        # guarantees the same bound on the sum.
-        tol = (1e-4 / k) ** 0.5
-
-        def run(s: int):
-            m = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, initMode="k-means||",
-                       featuresCol="features", predictionCol="Cluster").fit(data)
-            return m.summary.trainingCost, s, m
-
-        workers = max(1, min(parallelism or n_init, n_init))
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            results = list(pool.map(run, range(seed, seed + n_init)))
-        best = min(results, key=lambda r: (r[0], r[1]))[2]
-        if path:
-            best.transform(data).select(*rfm_df.columns, "Cluster").write.mode("overwrite").parquet(path)
+        # the reference library's rule: summed squared centre shift <= 1e-4 x mean feature
+        # variance, which is 1 after scaling
+        best = fit_restarts(data, cols, USER_ID, k, list(range(seed, seed + n_init)), max_iter, tol=1e-4)
+        if path or keep:
+            frame = data.select(*rfm_df.columns, best.cluster().alias("Cluster"))
+            if not path:
+                frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+                frame.count()
+                return best, frame
+            frame.write.mode("overwrite").parquet(path)
             return best, rfm_df.sparkSession.read.parquet(path)
     finally:
         data.unpersist()
-    return best, best.transform(vec.transform(scaled)).select(*rfm_df.columns, "Cluster")
+    return best, scaled.select(*rfm_df.columns, best.cluster().alias("Cluster"))
 
 
 def name_segments(clustered: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -36,6 +36,7 @@ class AnalyticsService:
         if materialize:
             self.dataset.materialize()
         self.registry = ModelRegistry(spark, self.dataset.registry_path())
+        self._clusters: DataFrame | None = None
         self._segments: DataFrame | None = None
 
     # -- dataset ------------------------------------------------------------
@@ -45,9 +46,13 @@ class AnalyticsService:
         if self.materialize:
             self.dataset.materialize()
         self.registry = ModelRegistry(self.spark, self.dataset.registry_path())
-        if self._segments is not None:
-            self._segments.unpersist()
-        self._segments = None
+        self._release_segments()
+
+    def _release_segments(self) -> None:
+        for frame in (self._clusters, self._segments):
+            if frame is not None:
+                frame.unpersist()
+        self._clusters = self._segments = None
 
     def _df(self, params: FilterParams | None = None) -> DataFrame:
         return FL.apply_filters(self.dataset.cleaned(), params)
@@ -106,8 +111,8 @@ class AnalyticsService:
     def segmentation(self) -> dict[str, DataFrame]:
         """Segments of the whole table: fitted once per dataset, then reused."""
         if self._segments is None:
-            _, clustered = U.fit_segments(U.rfm(self.dataset.cleaned()))
-            self._segments = U.name_segments(clustered).persist()
+            _, self._clusters = U.fit_segments(U.rfm(self.dataset.cleaned()), keep=True)
+            self._segments = U.name_segments(self._clusters).persist()
         return {"segments": self._segments, "summary": U.segment_profile(self._segments)}
 
     # -- fraud --------------------------------------------------------------
