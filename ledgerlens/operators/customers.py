@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import money, trunc_to_long
 from ledgerlens.operators.kmeans import Clustering, fit_restarts
+from ledgerlens.session import advisory_bytes
 from ledgerlens.schema import (
     AMOUNT, KMEANS_K, KMEANS_RESTARTS, MODEL_SEED, PAYMENT, SEGMENT_NAMES, TS, TX_ID, USER_ID,
 )
 
+STEP_ROW_BYTES = 64          # of one (user, restart) pair in a K-Means step
 RFM_COLS = ["Recency", "Frequency", "Monetary"]
 
 
@@ -58,22 +60,24 @@ def fit_segments(rfm_df: DataFrame, k: int = KMEANS_K, n_init: int = KMEANS_REST
     """K-Means on the scaled RFM vectors, ``n_init`` restarts (seeds
     ``seed … seed+n_init-1``) fitted together (one job per step), keeping the lowest cost.
 
-    The scaled rows are persisted for the fit in partitions of the session's advisory size,
-    so a small table is a few tasks and a large one as many as it needs. Returns ``(clustering,
+    The scaled rows are persisted for the fit; a step reads them in tasks of the session's
+    advisory size, so a small table is one task and a large one as many as it needs. Returns ``(clustering,
     frame with Cluster)``. The frame is computed from the RFM rows when used; with ``path`` it
     is written there and read back (the caller owns that folder), with ``keep`` it stays
     persisted until the caller unpersists it.
     """
     cols = [f"{c}_scaled" for c in RFM_COLS]
     scaled = rfm_scaled(rfm_df)
-    data = scaled.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
+    data = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_users = data.count()
         if n_users < k:
             raise TooFewUsers(f"{n_users} users cannot form {k} clusters")
         # the reference library's rule: summed squared centre shift <= 1e-4 x mean feature
         # variance, which is 1 after scaling
-        best = fit_restarts(data, cols, USER_ID, k, list(range(seed, seed + n_init)), max_iter, tol=1e-4)
+        # a step's work is one row per user and restart: tasks of the session's advisory size
+        tasks = max(1, n_users * n_init * STEP_ROW_BYTES // advisory_bytes(rfm_df.sparkSession))
+        best = fit_restarts(data.coalesce(tasks), cols, USER_ID, k, list(range(seed, seed + n_init)), max_iter, tol=1e-4)
         if path or keep:
             frame = data.select(*rfm_df.columns, best.cluster().alias("Cluster"))
             if not path:

@@ -31,55 +31,72 @@ class Clustering:
 
     def cluster(self) -> Column:
         """The nearest centre's number; ties go to the smaller number."""
-        found = _nearest(F.array(*[F.col(c).cast("double") for c in self.columns]), F.lit(self.centres))
-        return found["j"].cast("int")
+        x = [F.col(c).cast("double") for c in self.columns]
+        return _nearest([_squared(x, [F.lit(v) for v in c]) for c in self.centres])[1]
 
 
-def _distance(x: Column, centre: Column, dims: int) -> Column:
+def _squared(x: list[Column], centre: list[Column]) -> Column:
     total = (x[0] - centre[0]) * (x[0] - centre[0])
-    for i in range(1, dims):
-        total = total + (x[i] - centre[i]) * (x[i] - centre[i])
+    for a, b in zip(x[1:], centre[1:]):
+        total = total + (a - b) * (a - b)
     return total
 
 
-def _nearest(x: Column, centres: Column, dims: int | None = None) -> Column:
-    """``struct(d, j)``: squared distance to the nearest of the centres, and its number."""
-    def squared(c: Column) -> Column:
-        if dims is not None:
-            return _distance(x, c, dims)
-        return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return F.array_min(F.transform(centres, lambda c, j: F.struct(squared(c).alias("d"), j.alias("j"))))
+def _nearest(distances: list[Column]) -> tuple[Column, Column]:
+    """The least distance and its number."""
+    least = F.least(*distances) if len(distances) > 1 else distances[0]
+    number = F.lit(len(distances) - 1)
+    for j in reversed(range(len(distances) - 1)):
+        number = F.when(distances[j] == least, j).otherwise(number)
+    return least, number
 
 
-def _draw(seed: int, step: int, key: str) -> Column:
-    """-ln of a uniform number in (0, 1) that belongs to (seed, step, row)."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(step), F.col(key)), 11)
-    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53)))
+def _squared_text(j: int, k: int, dims: int) -> str:
+    """The squared distance of ``x`` to centre ``j`` of set ``r`` in the flat array ``c``."""
+    apart = [f"(x{i} - c[r * {k * dims} + {j * dims + i}])" for i in range(dims)]
+    return " + ".join(f"{d} * {d}" for d in apart)
 
 
-def starting_centres(rows: DataFrame, key: str, k: int, seeds: list[int], dims: int) -> list[Centres]:
-    """k-means++ centres of every seed: ``k`` aggregates over ``key, x``."""
+def _with_distances(rows: DataFrame, sets: list[Centres], dims: int) -> DataFrame:
+    """The rows once per centre set ``r`` with ``x0, x1, ...`` and the squared distances ``d0,
+    d1, ...`` to that set's centres.
+
+    The centres are a scalar subquery over one literal row, bound once per row: the plan is
+    a few expressions whatever the number of sets."""
+    numbers = ", ".join(f"{v!r}D" for centres in sets for c in centres for v in c)
+    k = len(sets[0])
+    bound = rows.selectExpr("*", f"(SELECT c FROM VALUES (array({numbers})) AS t(c)) AS c",
+                            f"explode(sequence(0, {len(sets) - 1})) AS r")
+    return bound.selectExpr("key", "r", *[f"x{i}" for i in range(dims)],
+                            *[f"{_squared_text(j, k, dims)} AS d{j}" for j in range(k)])
+
+
+def starting_centres(rows: DataFrame, k: int, seeds: list[int], dims: int) -> list[Centres]:
+    """k-means++ centres of every seed: ``k`` aggregates over ``key, x0, x1, ...``."""
     sets: list[Centres] = [[] for _ in seeds]
     for step in range(k):
-        picks = []
-        for i, seed in enumerate(seeds):
-            race = _draw(seed, step, key)
-            if step:        # a row on a centre cannot be drawn
-                d = _nearest(F.col("x"), F.lit(sets[i]), dims)["d"]
-                race = F.when(d > 0, race / d)
-            picks.append(F.min_by("x", race).alias(f"p{i}"))
-        got = rows.agg(*picks).first()
-        for i, centres in enumerate(sets):      # fewer distinct rows than centres: one is doubled
-            centres.append(list(got[i]) if got[i] is not None else list(centres[0]))
+        if step:
+            spread = _with_distances(rows, sets, dims)
+            least = _nearest([F.col(f"d{j}") for j in range(step)])[0]
+        else:
+            spread, least = rows.selectExpr("*", f"explode(sequence(0, {len(seeds) - 1})) AS r"), F.lit(1.0)
+        bits = F.expr(f"shiftrightunsigned(xxhash64(array({', '.join(map(str, seeds))})[r], {step}, key), 11)")
+        race = -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53)))      # of a uniform number in (0, 1)
+        drawn = spread.select("r", *[f"x{i}" for i in range(dims)], F.when(least > 0, race / least).alias("race"))
+        got = drawn.groupBy("r").agg(*[F.min_by(f"x{i}", "race").alias(f"x{i}") for i in range(dims)]).collect()
+        for g in got:
+            pick = [g[f"x{i}"] for i in range(dims)]
+            # fewer distinct rows than centres (no row off the centres): one is doubled
+            sets[g.r].append(pick if pick[0] is not None else list(sets[g.r][0]))
     return sets
 
 
 def lloyd_step(rows: DataFrame, sets: list[Centres], dims: int) -> list[tuple[float, dict[int, tuple[int, list[float]]]]]:
     """Per centre set its cost and, per non-empty cluster, the rows and their sums: one job."""
-    each = F.explode(F.transform(F.lit(sets), lambda cs, r: F.struct(r.alias("r"), _nearest(F.col("x"), cs, dims).alias("n"))))
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(dims)]
-    got = (rows.select("x", each.alias("e")).groupBy("e.r", "e.n.j")
-           .agg(F.count(F.lit(1)).alias("n"), F.sum("e.n.d").alias("cost"), *sums).collect())
+    named = _with_distances(rows, sets, dims)
+    least, number = _nearest([F.col(f"d{j}") for j in range(len(sets[0]))])
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(dims)]
+    got = (named.groupBy("r", number.alias("j")).agg(F.count(F.lit(1)).alias("n"), F.sum(least).alias("cost"), *sums).collect())
     out: list[tuple[float, dict]] = [(0.0, {}) for _ in sets]
     for g in sorted(got, key=lambda g: (g.r, g.j)):
         cost, clusters = out[g.r]
@@ -95,8 +112,8 @@ def fit_restarts(data: DataFrame, columns: list[str], key: str, k: int, seeds: l
     once per step: hand in a persisted or written frame. Jobs: ``k``, plus the slowest
     restart's iterations, plus one for the costs."""
     dims = len(columns)
-    rows = data.select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    sets = starting_centres(rows, key, k, seeds, dims)
+    rows = data.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    sets = starting_centres(rows, k, seeds, dims)
     iterations, open_ = [0] * len(sets), list(range(len(sets)))
     while open_:
         settled = []

@@ -55,3 +55,10 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
         sc.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/{sub}" if sub else base
+
+
+def advisory_bytes(spark: SparkSession) -> int:
+    """The size a task's data should have, as the session's adaptive execution is told."""
+    text = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m").strip().lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return max(1, int(text[:-1]) * units[text[-1]] if text[-1:] in units else int(text))

@@ -53,7 +53,7 @@ def test_partitioning_does_not_matter(spark):
 
 
 def test_lloyd_step_by_hand(spark):
-    rows = spark.createDataFrame([("p", [0.0, 0.0]), ("q", [2.0, 0.0]), ("r", [9.0, 1.0])], "id string, x array<double>")
+    rows = spark.createDataFrame([("p", 0.0, 0.0), ("q", 2.0, 0.0), ("r", 9.0, 1.0)], "key string, x0 double, x1 double")
     one, two = K.lloyd_step(rows, [[[0.0, 0.0], [10.0, 0.0]], [[2.0, 0.0], [2.0, 0.0]]], 2)
     assert one == (6.0, {0: (2, [2.0, 0.0]), 1: (1, [9.0, 1.0])})
     assert two == (54.0, {0: (3, [11.0, 1.0])})        # equal centres: the first takes all
@@ -68,5 +68,5 @@ def test_fewer_distinct_rows_than_clusters(spark, rows):
 def test_a_hot_point_and_no_rows_lost(spark):
     df = blobs(spark, 100).unionByName(spark.range(300).select(F.concat(F.lit("h"), "id").alias("id"), F.lit(0.0).alias("a"),
                                                               F.lit(0.0).alias("b"), F.lit(0.0).alias("c")))
-    step = K.lloyd_step(df.select("id", F.array("a", "b", "c").alias("x")), [[[0.0] * 3, [8.0, 8.0, 0.0]]] * 2, 3)
+    step = K.lloyd_step(df.toDF("key", "x0", "x1", "x2"), [[[0.0] * 3, [8.0, 8.0, 0.0]]] * 2, 3)
     assert [sum(n for n, _ in clusters.values()) for _, clusters in step] == [400, 400]
