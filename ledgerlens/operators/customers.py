@@ -123,6 +123,11 @@ def preferred_payment(df: DataFrame) -> DataFrame:
     """
     c = (df.where(F.col(USER_ID).isNotNull() & F.col(PAYMENT).isNotNull())
          .groupBy(USER_ID, PAYMENT).agg(F.count(F.lit(1)).alias("n")))
+    return most_used(c)
+
+
+def most_used(c: DataFrame) -> DataFrame:
+    """U7 of counts ``n`` per (user, method)."""
     return c.groupBy(USER_ID).agg(
         F.min_by(PAYMENT, F.struct((-F.col("n")).alias("m"), F.col(PAYMENT).alias("p")))
         .alias("preferred_payment_method"))

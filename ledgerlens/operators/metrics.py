@@ -149,8 +149,12 @@ BREAKDOWN_NAMES = {PAYMENT: "payment_method_share", CATEGORY: "merchant_category
 def distributions(df: DataFrame) -> DataFrame:
     """All three breakdowns from one scan (grouping sets), long form
     ``(breakdown, label, value, rank)``."""
-    d = df.select(money(AMOUNT).alias("amt"), *[F.col(c).cast("string").alias(c)
-                                               for c in (PAYMENT, CATEGORY, LOCATION)])
+    return distribution_rows(df.select(money(AMOUNT).alias("amt"), PAYMENT, CATEGORY, LOCATION))
+
+
+def distribution_rows(amounts: DataFrame) -> DataFrame:
+    """B4 of rows (or of merged partial sums) with a column ``amt``."""
+    d = amounts.select("amt", *[F.col(c).cast("string").alias(c) for c in (PAYMENT, CATEGORY, LOCATION)])
     g = (d.groupingSets([[PAYMENT], [CATEGORY], [LOCATION]], PAYMENT, CATEGORY, LOCATION)
          .agg(F.grouping_id().alias("gid"), F.sum("amt").cast("double").alias("value")))
     gid = F.col("gid")  # bits follow (payment, category, location)
@@ -191,9 +195,11 @@ def count_by_hour(df: DataFrame) -> DataFrame:
 
 def count_by_weekday(df: DataFrame) -> DataFrame:
     """Transactions per weekday with Vietnamese labels; ``weekday_no`` 0 = Monday."""
-    return (df.groupBy(weekday_no(TS).alias("weekday_no"))
-            .agg(F.count(TX_ID).alias("value"))
-            .select("weekday_no", weekday_label_of("weekday_no").alias("label"), "value"))
+    return weekday_rows(df.groupBy(weekday_no(TS).alias("weekday_no")).agg(F.count(TX_ID).alias("value")))
+
+
+def weekday_rows(counts: DataFrame) -> DataFrame:
+    return counts.select("weekday_no", weekday_label_of("weekday_no").alias("label"), "value")
 
 
 # ---------------------------------------------------------------------------
@@ -209,6 +215,11 @@ def category_flows(df: DataFrame, min_share: float = FLOW_MIN_SHARE) -> DataFram
     g = (df.where(F.col(PAYMENT).isNotNull() & F.col(CATEGORY).isNotNull())
          .groupBy(F.col(PAYMENT).cast("string").alias("from"), F.col(CATEGORY).cast("string").alias("to"))
          .agg(F.sum(money(AMOUNT)).alias("v")))
+    return large_flows(g, min_share)
+
+
+def large_flows(g: DataFrame, min_share: float) -> DataFrame:
+    """B10 of the summed flows ``from, to, v``."""
     total = F.sum("v").over(Window.partitionBy())
     return (g.withColumn("total", total)
             .where(F.col("v").cast("double") >= F.col("total").cast("double") * F.lit(float(min_share)))
@@ -218,7 +229,11 @@ def category_flows(df: DataFrame, min_share: float = FLOW_MIN_SHARE) -> DataFram
 def user_funnel(df: DataFrame, steps: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
     """Users with ≥ 1 / ≥ 2 / ≥ 5 transactions → rows ``(step, label, value)``;
     no row for an empty frame."""
-    per_user = df.groupBy(USER_ID).agg(F.count(TX_ID).alias("n"))
+    return funnel_rows(df.groupBy(USER_ID).agg(F.count(TX_ID).alias("n")), steps)
+
+
+def funnel_rows(per_user: DataFrame, steps: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
+    """B11 of one row per user with its transactions ``n``."""
     known = F.col(USER_ID).isNotNull()
     counts = per_user.agg(F.count(F.lit(1)).alias("groups"), *[
         F.count_if(known if s <= 1 else known & (F.col("n") >= s)).alias(f"s{i}") for i, s in enumerate(steps)])
@@ -252,6 +267,11 @@ def insights(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(wk, money(AMOUNT))).alias("weekend"),
         F.sum(F.when(~wk, money(AMOUNT))).alias("weekday"))
+    return insight_rows(by_hour)
+
+
+def insight_rows(by_hour: DataFrame) -> DataFrame:
+    """I1-I3 of one row per hour: rows ``n`` and the amounts ``weekend``, ``weekday``."""
     one = by_hour.agg(
         F.sum("n").alias("n"),
         F.coalesce(F.sum("weekend"), F.lit(0)).alias("weekend"),

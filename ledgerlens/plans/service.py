@@ -18,6 +18,7 @@ from ledgerlens.operators.clean import clean_fraud_input
 from ledgerlens.operators.forecast import baseline_forecast
 from ledgerlens.operators.treerules import explain
 from ledgerlens.plans.registry import ModelRegistry
+from ledgerlens.plans.rollup import Router
 from ledgerlens.schema import TS, FilterParams
 from ledgerlens.sources.dataset import Dataset, open_dataset
 
@@ -28,13 +29,12 @@ class AnalyticsService:
     def __init__(self, spark: SparkSession, path: str, materialize: bool = False, ts_format: str | None = None):
         """``ts_format`` is the pattern of the file's timestamps (default: taken from its
         first values). ``materialize=True`` parses the source once into month-partitioned
-        parquet under the shared checkpoint folder; later requests then read
-        only the columns and months they need."""
+        parquet under the shared checkpoint folder and builds its roll-up; later requests read the
+        roll-up where it answers them, else only the columns and months they need."""
         self.spark = spark
         self.materialize = materialize
         self.dataset: Dataset = open_dataset(spark, path, ts_format=ts_format)
-        if materialize:
-            self.dataset.materialize()
+        self._open()
         self.registry = ModelRegistry(spark, self.dataset.registry_path())
         self._clusters: DataFrame | None = None
         self._segments: DataFrame | None = None
@@ -43,11 +43,15 @@ class AnalyticsService:
     def change_dataset(self, path: str, ts_format: str | None = None) -> None:
         """Switch files: cached data, fitted segments and trained models are dropped."""
         self.dataset = open_dataset(self.spark, path, previous=self.dataset, ts_format=ts_format)
-        if self.materialize:
-            self.dataset.materialize()
+        self._open()
         self.registry = ModelRegistry(self.spark, self.dataset.registry_path())
         self._release_segments()
 
+    def _open(self) -> None:
+        if self.materialize:
+            self.dataset.materialize()
+        self.router = Router(self.dataset.cleaned(), self.dataset.rollup() if self.materialize else None)
+
     def _release_segments(self) -> None:
         for frame in (self._clusters, self._segments):
             if frame is not None:
@@ -62,28 +66,30 @@ class AnalyticsService:
         return FL.filter_values(self.dataset.cleaned())
 
     def summary(self, params: FilterParams | None = None, approx_users: bool = False) -> DataFrame:
-        return M.summary(self._df(params), approx_users=approx_users)
+        if approx_users:
+            return M.summary(self._df(params), approx_users=True)
+        return self.router.answer("summary", params)
 
     def distributions(self, params: FilterParams | None = None) -> DataFrame:
-        return M.distributions(self._df(params))
+        return self.router.answer("distributions", params)
 
     def trend(self, params: FilterParams | None = None, granularity: str = "month") -> DataFrame:
-        return M.trend(self._df(params), granularity)
+        return self.router.answer("trend", params, granularity=granularity)
 
     def forecast(self, params: FilterParams | None = None) -> DataFrame:
-        return baseline_forecast(M.trend(self._df(params), "month"))
+        return baseline_forecast(self.trend(params))
 
     def hourly(self, params: FilterParams | None = None) -> DataFrame:
-        return M.amount_by_hour(self._df(params))
+        return self.router.answer("amount_by_hour", params)
 
     def insights(self, params: FilterParams | None = None) -> DataFrame:
-        return M.insights(self._df(params))
+        return self.router.answer("insights", params)
 
     def flows(self, params: FilterParams | None = None) -> DataFrame:
-        return M.category_flows(self._df(params))
+        return self.router.answer("flows", params)
 
     def funnel(self, params: FilterParams | None = None) -> DataFrame:
-        return M.user_funnel(self._df(params))
+        return self.router.answer("funnel", params)
 
     def transactions(self, params: FilterParams | None = None, search: str = "", sort_by: str = TS,
                      sort_order: str = "desc", page: int = 1, page_size: int = 20) -> dict[str, DataFrame]:

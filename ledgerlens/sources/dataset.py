@@ -93,6 +93,17 @@ class Dataset:
         self._clean, self._clean_format, self._months = fresh, fmt, True
         return fresh
 
+    def rollup(self):
+        """The roll-up of the cleaned table (``plans.rollup``), built on first use and found
+        again by every later session: its folder is named by the files' signature."""
+        from ledgerlens.plans.rollup import Rollup
+
+        clean = self.cleaned()
+        made = Rollup(self.spark, shared_dir(self.spark, f"datasets/{self.key}-{hashlib.sha1(self._clean_format.encode()).hexdigest()[:6]}/rollup"))
+        if not made.version:
+            made.add(clean)
+        return made
+
     def between(self, start=None, stop=None) -> DataFrame:
         """Cleaned rows from ``start`` up to before ``stop`` (either may be None)."""
         out = self.cleaned()
