@@ -210,27 +210,60 @@ def with_input_defaults(df: DataFrame) -> DataFrame:
     return out
 
 
-def score(model: FraudModel, df: DataFrame) -> DataFrame:
+def with_absent_defaults(df: DataFrame) -> DataFrame:
+    """What scoring a table of transactions reads: only an absent field (no such column) takes
+    the form default. A null category stays null and is scored as the model was trained on it,
+    so scoring, evaluation and explanation give a row one verdict; a null number, which no
+    training row has, takes the default."""
+    out = df
+    for c, v in FRAUD_INPUT_DEFAULTS.items():
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(v))
+        elif c in FRAUD_NUMERIC:
+            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
+    return out
+
+
+def score(model: FraudModel, df: DataFrame, null_is_absent: bool = True) -> DataFrame:
     """M9: class, fraud probability, percent (1 decimal) and verdict per row.
 
-    ``unseen_category`` marks rows whose category value was not in training
+    A table of requests read from records cannot tell a field that was left out from a null
+    one, so nulls take the form defaults; for transactions pass ``null_is_absent=False`` (see
+    :func:`with_absent_defaults`). ``unseen_category`` marks rows whose category value was not in training
     (it scores as an all-zero one-hot block)."""
-    d = with_input_defaults(df)
+    d = with_input_defaults(df) if null_is_absent else with_absent_defaults(df)
     labels = model.model.stages[0].labelsArray
     unseen = F.lit(False)
     for c, labs in zip(FRAUD_CATEGORICAL, labels):
         unseen = unseen | ~F.coalesce(F.col(c).cast("string"), F.lit(NULL_CATEGORY)).isin(*labs)
-    scored = predict(model, d.withColumn("unseen_category", unseen))
+    given = {f"{c}__given": F.col(c) for c in FRAUD_CATEGORICAL}       # the encoder names missing ones
+    scored = predict(model, d.withColumns({"unseen_category": unseen, **given}))
+    scored = scored.withColumns({c: F.col(f"{c}__given") for c in FRAUD_CATEGORICAL})
     prob = vector_to_array("probability")[1]
     keep = [c for c in df.columns if c not in ("features", "probability", "rawPrediction", "prediction")]
     out = scored.select(*keep, *[c for c in FRAUD_INPUT_DEFAULTS if c not in keep], "unseen_category",
                         F.col("prediction").cast("int").alias("is_fraud_pred"), prob.alias("probability"))
-    return out.withColumns({
+    return with_verdict(out)
+
+
+def with_verdict(df: DataFrame) -> DataFrame:
+    """M9: percent and verdict text of the columns ``is_fraud_pred`` and ``probability``."""
+    return df.withColumns({
         "probability_pct": F.round(F.col("probability") * 100, 1),
         "verdict": F.when(F.col("is_fraud_pred") == 1, VERDICT_FRAUD).otherwise(VERDICT_SAFE),
     })
 
 
+def encoded(df: DataFrame) -> DataFrame:
+    """M2: the model's input vector per row as an array: one slot per category value in
+    alphabetical order (a missing category is the value ``nan``), then the numbers. The
+    vocabulary is that of ``df``; see ``build_pipeline``."""
+    stages = build_pipeline().getStages()[:-1]
+    rows = _prepared(df)
+    vectors = Pipeline(stages=stages).fit(rows).transform(rows)
+    return vectors.select(TX_ID, vector_to_array("features").alias("features"))
+
+
 # ---------------------------------------------------------------------------
 # M13 comparison
 # ---------------------------------------------------------------------------

@@ -31,7 +31,8 @@ def page(df: DataFrame, sort_by: str = TS, sort_order: str = "desc", page_no: in
     """Rows ``(page-1)*size … +size`` of the sorted frame (start clamped at 0).
 
     Plans as ``TakeOrderedAndProject(limit, offset)``: every task keeps only its
-    best ``offset + size`` rows. For deep pages use :func:`page_after`.
+    best ``offset + size`` rows. For deep pages use :func:`page_after` behind a known row, or
+    :func:`page_at` by number.
     """
     start = max((page_no - 1) * page_size, 0)
     out = df.orderBy(*sort_keys(sort_by, sort_order))
@@ -65,6 +66,82 @@ def page_after(df: DataFrame, last_value, last_id: str | None, sort_by: str = TS
     return df.where(after).orderBy(*sort_keys(col, sort_order)).limit(page_size)
 
 
+ROW_HASH = "_row_hash"
+PIVOTS, SPAN = 32, 10_000       # keys counted per pass, and rows a page may be sought in
+
+
+def _before(keys: list[tuple[str, bool]], at: list) -> Column:
+    """Whether a row comes strictly before the key ``at`` (nulls last on every column)."""
+    cond = F.lit(False)
+    for (name, asc), v in reversed(list(zip(keys, at))):
+        c = F.col(name)
+        if v is None:
+            ahead, same = c.isNotNull(), c.isNull()
+        else:
+            # the null test keeps the comparison two-valued, so it can be negated
+            ahead = c.isNotNull() & ((c < F.lit(v)) if asc else (c > F.lit(v)))
+            same = c.isNotNull() & (c == F.lit(v))
+        cond = F.coalesce(ahead, F.lit(False)) | (F.coalesce(same, F.lit(False)) & cond)
+    return cond
+
+
+def rank_start(rows: DataFrame, keys: list[tuple[str, bool]], offset: int, span: int = SPAN,
+               pivots: int = PIVOTS) -> tuple[list | None, int]:
+    """(key, rows before it): the last known key with at most ``offset`` rows before it, and
+    fewer than ``span`` more rows up to the wanted one where keys differ.
+
+    Each pass draws ``pivots`` keys of the rows still in question (by a hash, so evenly) and
+    counts the rows before each in one global aggregate; the two around ``offset`` bound the next
+    pass. Passes grow with the logarithm of the table; only keys and counts reach the driver."""
+    names = [k for k, _ in keys]
+    order = [F.col(k).asc_nulls_last() if asc else F.col(k).desc_nulls_last() for k, asc in keys]
+    start, below, part = None, 0, rows.select(*names)
+    left = None
+    while left is None or left > span:
+        drawn = part.orderBy(F.xxhash64(*names)).limit(pivots).distinct().orderBy(*order).collect()
+        if not drawn:
+            break
+        counts = part.agg(F.count(F.lit(1)).alias("all"), *[F.count_if(_before(keys, list(p))).alias(f"c{i}") for i, p in enumerate(drawn)]).first()
+        ahead = [i for i in range(len(drawn)) if below + counts[f"c{i}"] <= offset]
+        stop = next((i for i in range(len(drawn)) if below + counts[f"c{i}"] > offset), None)
+        high = counts[f"c{stop}"] if stop is not None else counts["all"]
+        low = counts[f"c{ahead[-1]}"] if ahead else 0
+        new = part
+        if stop is not None:
+            new = new.where(_before(keys, list(drawn[stop])))
+        if ahead:
+            start, below = list(drawn[ahead[-1]]), below + low
+            new = new.where(~_before(keys, start))
+        part = new
+        if left is not None and high - low >= left:      # the rows left all have one key
+            break
+        left = high - low
+    return start, below
+
+
+def page_at(df: DataFrame, page_no: int, page_size: int = 20, sort_by: str = TS, sort_order: str = "desc",
+            span: int = SPAN, pivots: int = PIVOTS) -> DataFrame:
+    """P2 by page number at any depth: the rank of the page's first row is narrowed to a key
+    near it (:func:`rank_start`), rows before that key are filtered out, and the top-k keeps
+    fewer than ``span + page_size`` rows per task instead of ``page_no * page_size``.
+
+    The order is that of :func:`page` with a hash of the whole row behind the id, so rows equal
+    in sort value and id (or without an id) are told apart and pages never overlap; only
+    rows equal in every column may stand for each other."""
+    col = sort_by if sort_by in SORTABLE_COLUMNS else TS
+    asc = (sort_order or "").lower() == "asc"
+    keys = [(col, asc), (TX_ID, asc), (ROW_HASH, True)]
+    rows = df.withColumn(ROW_HASH, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    offset = max((page_no - 1) * page_size, 0)
+    start, below = rank_start(rows, keys, offset, span, pivots)
+    if start is not None:
+        rows = rows.where(~_before(keys, start))
+    out = rows.orderBy(*[F.col(k).asc_nulls_last() if a else F.col(k).desc_nulls_last() for k, a in keys])
+    if offset > below:
+        out = out.offset(offset - below)
+    return out.limit(page_size).drop(ROW_HASH)
+
+
 def page_total(df: DataFrame) -> DataFrame:
     """Total row count of the (filtered / searched) frame."""
     return df.agg(F.count(F.lit(1)).alias("total"))

@@ -692,7 +692,7 @@ def m5(spark, sf):
 def m9(spark, sf):
     d = fx.tx_fraud(spark, sf)
     m = FR.fit_fraud_model(d, "decision_tree")
-    return FR.score(m, d).select(TX_ID, "is_fraud_pred", "probability", "probability_pct", "verdict",
+    return FR.score(m, d, null_is_absent=False).select(TX_ID, "is_fraud_pred", "probability", "probability_pct", "verdict",
                                  "unseen_category")
 
 
@@ -709,14 +709,14 @@ def m10(spark, sf):
 def m11(spark, sf):
     d = fx.tx_fraud(spark, sf)
     m = FR.fit_fraud_model(d, "decision_tree")
-    return explain(m, FR.with_input_defaults(d)).select(TX_ID, "rules", "path_prediction")
+    return explain(m, FR.with_absent_defaults(d)).select(TX_ID, "rules", "path_prediction")
 
 
 @q("m12_explain_forest")
 def m12(spark, sf):
     d = fx.tx_fraud(spark, sf)
     m = FR.fit_fraud_model(d, "random_forest")
-    return explain(m, FR.with_input_defaults(d)).select(TX_ID, "rules", "path_prediction")
+    return explain(m, FR.with_absent_defaults(d)).select(TX_ID, "rules", "path_prediction")
 
 
 @q("m13_compare_models")

@@ -131,6 +131,10 @@ class AnalyticsService:
     def model_status(self, kind: str) -> DataFrame:
         return self.registry.metrics(kind)
 
+    def status(self) -> DataFrame:
+        """Both models' state, metrics and matrix in one call."""
+        return self.registry.status_rows()
+
     def confusion(self, kind: str) -> DataFrame:
         return self.registry.confusion(kind)
 
@@ -142,9 +146,10 @@ class AnalyticsService:
         rows = [self.registry.metrics(k) for k in FR.KINDS]
         return FR.compare_models(rows[0].unionByName(rows[1]))
 
-    def predict(self, requests: DataFrame, kind: str | None = None) -> DataFrame:
+    def predict(self, requests: DataFrame, kind: str | None = None, null_is_absent: bool = True) -> DataFrame:
         """Score a table of requests (amount, hour, is_weekend, payment, category,
-        location); missing inputs take the form defaults. Adds the rule list."""
+        location); missing inputs take the form defaults. Adds the rule list. For stored
+        transactions, whose missing categories are values, pass ``null_is_absent=False``."""
         model = self.registry.model(kind)
-        scored = FR.score(model, requests)
+        scored = FR.score(model, requests, null_is_absent)
         return explain(model, scored)
