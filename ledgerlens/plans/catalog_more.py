@@ -49,10 +49,10 @@ def m2_encoded(spark, sf):
 
 
 @q("m9_given_probability", with_views(
-    "select Transaction_ID, round((Amount_VND + 0.03) / 1000, 6) as probability, round(round((Amount_VND + 0.03) / 1000, 6) * 100, 1) as probability_pct, "
+    "select Transaction_ID, round((Amount_VND + 0.003) / 1000, 6) as probability, round(round((Amount_VND + 0.003) / 1000, 6) * 100, 1) as probability_pct, "
     f"case when Amount_VND >= 500 then '{VERDICT_FRAUD}' else '{VERDICT_SAFE}' end as verdict from tx_fraud", "tx_fraud"))
 def m9_given(spark, sf):
-    d = fx.tx_fraud(spark, sf).withColumns({"probability": F.round((F.col(AMOUNT) + 0.03) / 1000, 6), "is_fraud_pred": (F.col(AMOUNT) >= 500).cast("int")})
+    d = fx.tx_fraud(spark, sf).withColumns({"probability": F.round((F.col(AMOUNT) + 0.003) / 1000, 6), "is_fraud_pred": (F.col(AMOUNT) >= 500).cast("int")})
     return FR.with_verdict(d).select(TX_ID, "probability", "probability_pct", "verdict")
 
 
