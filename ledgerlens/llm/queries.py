@@ -56,9 +56,7 @@ SELECT *, (fail_mask & {quality.policy_mask('base')}) <> 0 AS base_failed,
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.drop_common_lines(read(spark, sf_dir, "documents"))
-    return clean.select("row.doc_id", F.size("lines").cast("long").alias("n_lines"),
-                        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
-                        F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+    return clean.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
 LINES_SQL = r"""

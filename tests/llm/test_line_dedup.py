@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from ledgerlens.llm import line_dedup as L
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -57,3 +59,30 @@ def test_empty_table(nothing):
 
 def test_main_path_is_native(edges):
     assert not re.search("Python|Arrow|Pandas", L.drop_common_lines(edges)._jdf.queryExecution().toString())
+
+
+def test_settled_keys_are_not_written_again(spark):
+    rows = [(i, "hot\nown %d" % i) for i in range(40)]
+    runs = L.LineRuns(spark, min_docs=4)
+    for a in range(0, 40, 8):
+        runs.add(L.line_table(spark.createDataFrame(rows[a: a + 8], "doc_id long, text string")))
+    assert runs.totals().filter("n_docs >= 4").collect()[0].n_docs == 8 and runs.totals().count() == 41
+    with pytest.raises(ValueError):
+        runs.clean(spark.createDataFrame(rows, "doc_id long, text string"), runs.totals(), 5)
+
+
+def test_batches_with_nulls_and_repeated_rows(spark, edge_rows):
+    rows = (edge_rows + rows_with_shared_lines()) * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = [spark.createDataFrame(rows[i::5], "doc_id long, text string") for i in range(5)]
+    for least in (2, 3, 10):
+        assert got(L.drop_common_lines(df, least, batches=parts)) == brute(rows, least)
+        assert got(L.drop_common_lines(df, least)) == brute(rows, least)
+
+
+def test_small_bitmap_only_exchanges_more(spark, monkeypatch):
+    monkeypatch.setattr(L, "SIEVE_BITS", 7)
+    rows = rows_with_shared_lines() + [(100 + i, f"alone {i}\nstill {i}") for i in range(300)]
+    out = L.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert sorted(((r.row.doc_id, len(r.lines), r.kept_text) for r in out), key=str) == brute(rows, 5)
+    assert all(r.n_lines == len(r.lines) and r.n_dropped == len(r.lines) - len(r.kept) for r in out)
