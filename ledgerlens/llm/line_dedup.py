@@ -54,8 +54,9 @@ def _row_keys() -> list[Column]:
 def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``k1, k2, uid, pos, h1, h2``: the 128-bit key hash of every line that can be dropped.
     ``uid`` tells rows apart, equal ones included; write the table before it is used twice."""
-    rows = docs.select(*_row_keys(), F.monotonically_increasing_id().alias("uid"),
-                       F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    # the row number comes before the explosion: beside it, it would number the lines
+    rows = docs.select(*_row_keys(), F.monotonically_increasing_id().alias("uid"), "text")
+    rows = rows.select("k1", "k2", "uid", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     long_enough = F.length(F.trim("line", F.lit(WHITE))) >= min_chars        # folding keeps lengths
     keyed = rows.filter(long_enough).select("k1", "k2", "uid", "pos", line_key(F.col("line")).alias("key"))
     return keyed.select("k1", "k2", "uid", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))

@@ -86,3 +86,9 @@ def test_small_bitmap_only_exchanges_more(spark, monkeypatch):
     out = L.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
     assert sorted(((r.row.doc_id, len(r.lines), r.kept_text) for r in out), key=str) == brute(rows, 5)
     assert all(r.n_lines == len(r.lines) and r.n_dropped == len(r.lines) - len(r.kept) for r in out)
+
+
+def test_a_line_repeated_in_one_document_counts_once(spark):
+    rows = [(1, "again\n" * 30), (2, "again\nonce")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(L.drop_common_lines(df, 3)) == brute(rows, 3) and got(L.drop_common_lines(df, 2)) == brute(rows, 2)
