@@ -5,15 +5,20 @@ least ``PERCENT`` / 100, which fixes the least overlap ``need(a, b)`` of two set
 
 * light sets (size up to a boundary) enumerate all their subsets of every size that
   ``need`` asks for; two light sets link only if they share such a subset;
-* heavy sets are found on inverted lists: a global order of the shingles (rare first)
-  makes any linked pair share one of the first ``prefix(n)`` shingles of both sets, at
-  positions that still leave room for the needed overlap, so only those are listed.
-
-The boundary minimises the rows of both parts over the corpus's size histogram. The order
-ranks shingles by a fixed-size table of corpus counts, so very common shingles come last.
-
-Lists are not expanded into all pairs. Each list's first member (the one with the fewest
-rarer shingles) is compared with all others; verified links are contracted into
+* heavy sets are found on inverted lists of whole groups of their shingles. A hash deals the
+  shingles into more groups than linked sets of that size differ in elements, so two linked
+  sets hold the same shingles in at least one group (pigeonhole), and each set is listed
+  under the hash of every group's content. Unrelated sets that merely share some shingles,
+  such as long texts or ones with a common passage, meet on no list. The number of groups
+  follows the size band; a set is listed in its own band and the next, as linked sets lie in
+  the same band or in neighbouring ones. A set with too many empty groups for the pigeonhole is
+  also listed by its first ``prefix(n)`` shingles, one of which any linked pair shares, at
+  positions that still leave room for the needed overlap.
+
+The boundary minimises the rows of both parts over the corpus's size histogram.
+
+Lists are not expanded into all pairs. Each list's first member (the smallest set) is
+compared with all others; verified links are contracted into
 components, and only lists that still hold two components are compared across components.
 No link between components is lost, so the components are exact. Candidate pairs are
 first tried on small parity bitmaps (256 bits inside the join, n/2 bits after it), whose distance never exceeds the sets' difference; the
@@ -42,8 +47,7 @@ from ledgerlens.llm.common import Words, map_arrow, materialize, mix, slices
 from ledgerlens.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
-COUNTERS, BLOCK = 1 << 20, 1 << 14      # the table of shingle counts, and its slice per row
-LIST_COST = 4                           # a listed shingle's cost in enumerated subsets
+LIST_COST = 4                           # a listed group's cost in enumerated subsets
 MAX_LIGHT = 24                          # above it the subsets of one set alone exceed thousands
 SIEVE_BITS = 22
 LAST = (1 << 63) - 1                    # stands for a null id in joins
@@ -107,48 +111,62 @@ class Sets:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Per row ``doc_id, n, sig``; per task additionally slices of the shingle counters
-    (``block, counts``), all in one pass over the texts."""
+    """Per row ``doc_id, row_key, n, sig``, in one pass over the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row_key", "n", "sig", "block", "counts"]
-        total = np.zeros(COUNTERS, np.int64)
         for b in slices(batches):
             s = Sets(b.column(2), k)
-            if len(s.hash):
-                total += np.bincount((s.hash >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-            m = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(s.size.astype(np.int64)), pa.array(s.signatures(), pa.binary()),
-                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
-        at = [i for i in range(0, COUNTERS, BLOCK) if total[i: i + BLOCK].any()]
-        m = len(at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
-             pa.array(at, pa.int32()), pa.array([total[i: i + BLOCK].astype(np.int32).tobytes() for i in at], pa.binary())], names)
+                [b.column(0), b.column(1), pa.array(s.size.astype(np.int64)), pa.array(s.signatures(), pa.binary())],
+                ["doc_id", "row_key", "n", "sig"])
 
     rows = docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("row_key"), "text")
-    return map_arrow(rows, run, "doc_id long, row_key long, n long, sig binary, block int, counts binary")
-
-
-def order_classes(described: DataFrame) -> np.ndarray:
-    """Commonness class of each counter: 0 up to twice the mean, then one per doubling.
-    The counters are summed per slice on the executors; ``COUNTERS`` bytes in all reach
-    the driver."""
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BLOCK, np.int64)
-        for b in batches:
-            for c in b.column("counts"):
-                total += np.frombuffer(c.as_py(), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])],
-                                         ["block", "counts"])
-
-    rows = (described.filter("block is not null").select("block", "counts").groupBy("block")
-            .applyInArrow(add, "block int, counts binary").collect())
-    total = np.zeros(COUNTERS, np.int64)
-    for r in rows:
-        total[r.block: r.block + BLOCK] = np.frombuffer(r.counts, np.int64)
-    mean = max(8.0, total.mean())
-    return np.clip(np.floor(np.log2(np.maximum(total / mean, 1))), 0, 15).astype(np.uint8)
+    return map_arrow(rows, run, "doc_id long, row_key long, n long, sig binary")
+
+
+def bands(most: int, percent: int) -> np.ndarray:
+    """The least size of each band, up to one beyond ``most``. A set's partners are at most
+    100 / percent times as large, so they lie in its band or in the ones beside it."""
+    edges = [1]
+    while edges[-1] <= most:
+        edges.append(100 * edges[-1] // percent + 1)
+    return np.array([*edges, 100 * edges[-1] // percent + 1], np.int64)
+
+
+def groups_of(band: np.ndarray, edges: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, empties allowed) for sets of ``band`` and the band below: linked ones differ in
+    at most d elements, so of d + 1 + spare groups more than ``spare`` are equal, and at
+    least one of these is not empty while a set has at most ``spare`` empty groups."""
+    d = 2 * (edges[band + 1] - 1) * (100 - percent) // (100 + percent)
+    spare = -(-d // 8)
+    return d + 1 + spare, spare
+
+
+def group_keys(h: np.ndarray, row: np.ndarray, size: np.ndarray, percent: int):
+    """The list keys of the sets of sizes ``size`` (set of shingle ``h[i]``: ``row[i]``): per
+    set a list of key arrays, and per set the two bands for which it has too many empty
+    groups."""
+    edges = bands(int(size.max(initial=1)), percent)
+    own = np.searchsorted(edges, size, side="right") - 1
+    keys: list[list[np.ndarray]] = [[] for _ in size]
+    sparse: list[list[int]] = [[] for _ in size]
+    for band in (own, own + 1):
+        if band.max(initial=0) + 1 >= len(edges):
+            edges = np.append(edges, 100 * edges[-1] // percent + 1)
+        count, spare = groups_of(band, edges, percent)
+        seed = mix((band.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        first = np.concatenate([[0], np.cumsum(count)])
+        spot = first[row] + (mix(h ^ seed[row]) % count[row].astype(np.uint64)).astype(np.int64)
+        content = np.zeros(first[-1], np.uint64)
+        np.add.at(content, spot, mix(h * np.uint64(0xD6E8FEB86659FD93) + seed[row]))
+        filled = np.bincount(spot, minlength=first[-1]) > 0
+        group = np.arange(first[-1]) - np.repeat(first[:-1], count)
+        key = mix(content + mix(np.repeat(seed, count) + group.astype(np.uint64)))
+        for i in range(len(size)):
+            have = filled[first[i]: first[i + 1]]
+            keys[i].append(key[first[i]: first[i + 1]][have])
+            if size[i] and count[i] - have.sum() > spare[i]:
+                sparse[i].append(int(band[i]))
+    return keys, sparse
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -176,10 +194,10 @@ def parity_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(p ^ q).sum())
 
 
-def candidate_keys(docs: DataFrame, k: int, classes: np.ndarray, light: int, percent: int) -> DataFrame:
+def candidate_keys(docs: DataFrame, k: int, light: int, percent: int) -> DataFrame:
     """Per row ``doc_id, sig`` and its packed candidate keys with positions: subset hashes
-    of light sets (position -1), listed shingles of heavy sets and of light sets that a
-    heavy one may link to; and the set's parities."""
+    of light sets and group keys of heavy sets and of light sets that a heavy one may link to
+    (position -1), listed shingles of sets with many empty groups; and the set's parities."""
     floor = -(-percent * (light + 1) // 100)        # least size that links to a heavy set
 
     def subsets(s: np.ndarray) -> np.ndarray:
@@ -195,16 +213,19 @@ def candidate_keys(docs: DataFrame, k: int, classes: np.ndarray, light: int, per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             s = Sets(b.column(1), k)
-            rank = classes[(s.hash >> np.uint64(44)).astype(np.int64)]
-            order = np.lexsort((s.hash, rank, s.row))
-            ranked = s.hash[order]
+            listed = np.where(s.size >= floor, s.size, 0)
+            mine = listed[s.row] > 0
+            groups, sparse = group_keys(s.hash[mine], s.row[mine], listed, percent)
             keys, places, bits = [], [], []
             fold = np.array([folds(s.of(i)) for i in range(b.num_rows)], np.int64).reshape(-1, 4)
             for i, n in enumerate(s.size.tolist()):
-                listed = ranked[s.first[i]: s.first[i] + prefix(n, percent)] if n >= floor and n else ranked[:0]
-                part = subsets(s.of(i)) if 0 < n <= light else ranked[:0]
-                keys.append(np.concatenate([listed, part]).tobytes())
-                places.append(np.concatenate([np.arange(len(listed)), np.full(len(part), -1)]).astype(np.int32).tobytes())
+                part = groups[i] if listed[i] else []
+                if 0 < n <= light:
+                    part = [*part, subsets(s.of(i))]
+                alone = [mix(s.of(i)[: prefix(n, percent)] + np.uint64(band)) for band in sparse[i]] if listed[i] else []
+                keys.append(np.concatenate([*part, *alone, s.hash[:0]]).tobytes())
+                place = [np.full(sum(map(len, part)), -1), *(np.arange(len(a)) for a in alone)]
+                places.append(np.concatenate(place).astype(np.int32).tobytes())
                 bits.append(parity(s.of(i)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(s.signatures(), pa.binary()), pa.array(keys, pa.binary()), pa.array(places, pa.binary()),
@@ -224,7 +245,7 @@ def unpack(packed: DataFrame) -> DataFrame:
                 keys = [np.frombuffer(x.as_py(), np.int64) for x in p.column(2)]
                 count = [len(x) for x in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.uint64) >> np.uint64(16)).cast(pa.int64()), pa.array(np.repeat(np.asarray(p.column(0)), count)),
+                    [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.asarray(p.column(0)), count)),
                      pa.array(np.repeat(np.asarray(p.column(1)), count)),
                      pa.array(np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in p.column(3)]))],
                     ["key", "cid", "n", "pos"])
@@ -247,21 +268,21 @@ def _possible(percent: int, light: int) -> str:
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``cid, items`` (packed sorted hashes) of the wanted classes ``(cid, doc, sig)``.
     A fixed-size sieve of their ids keeps most other texts out of the exchange."""
-    size = 1 << SIEVE_BITS
-    slot = lambda: F.pmod(F.xxhash64("doc"), F.lit(size)).cast("int")
-    sieve = np.zeros(size, bool)
-    sieve[[r[0] for r in wanted.select(slot().alias("s")).distinct().collect()]] = True
+    slot = F.pmod(F.xxhash64("doc"), F.lit(1 << SIEVE_BITS))
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    # at most 2 ** (SIEVE_BITS - 6) rows of two numbers, made on the executors
+    sieve = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("mask"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(sieve[np.asarray(b.column(2))]))
             for p in slices(iter([b])):
                 s = Sets(p.column(1), k)
                 yield pa.RecordBatch.from_arrays(
                     [p.column(0), pa.array(s.signatures(), pa.binary()),
                      pa.array([s.of(i).tobytes() for i in range(p.num_rows)], pa.binary())], ["doc", "sig", "items"])
 
-    rows = docs.select(_doc(), "text").withColumn("slot", slot())
+    rows = docs.select(_doc(), "text").withColumn("word", word).join(F.broadcast(sieve), "word")
+    rows = rows.filter(F.call_function("shiftrightunsigned", F.col("mask"), bit).bitwiseAND(F.lit(1)) == 1).select("doc", "text")
     sets = map_arrow(rows, run, "doc long, sig binary, items binary")
     return sets.join(wanted, ["doc", "sig"]).dropDuplicates(["doc", "sig"]).select("cid", "items")
 
@@ -304,13 +325,12 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
 def linked_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): per input row ``doc_id, row_key, n, sig``, and per distinct
     non-empty set ``cid, sig, root`` where classes of one component share the root."""
-    described = materialize(describe(docs, k), "jaccard-rows")
-    rows = described.filter("block is null").select("doc_id", "row_key", "n", "sig")
+    rows = materialize(describe(docs, k), "jaccard-rows")
     grouped = rows.filter("n > 0").groupBy("sig").agg(F.min(_doc()).alias("doc"), F.first("n").alias("n"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"), "jaccard-classes")
     sizes = {r.n: r["count"] for r in classes.groupBy("n").count().collect()}    # one row per distinct size
     light = light_boundary(sizes, percent)
-    keyed = candidate_keys(docs, k, order_classes(described), light, percent).filter("octet_length(keys) > 0")
+    keyed = candidate_keys(docs, k, light, percent).filter("octet_length(keys) > 0")
     packed = materialize(keyed.join(classes, ["doc", "sig"]).dropDuplicates(["doc", "sig"])
                          .select("cid", "n", "bits", *FOLDS, "keys", "places"), "jaccard-keys")
 
