@@ -455,3 +455,38 @@ def decode(encoded: DataFrame, vocab: Vocabulary | None = None, column: str = "i
                 yield pa.RecordBatch.from_arrays([*p.columns, decode_slice(trie, p.column(column))], [f.name for f in out.fields])
 
     return map_arrow(encoded, run, out)
+
+
+def round_trip(docs: DataFrame, vocab: Vocabulary | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """``encode`` plus ``round_trip``: whether decoding the ids gives the text again. A text is
+    encoded, decoded and compared in one pass, so no decoded text leaves its task."""
+    vocab = vocab or Vocabulary.load()
+    names, text = docs.columns, docs.columns.index("text")
+    df = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    col = F.col(f"c{text}")
+    long_text = F.coalesce(F.octet_length(col), F.lit(0)) > giant
+    out = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+                        T.StructField("round_trip", T.BooleanType())])
+    columns = [f.name for f in out.fields]
+
+    def checked(b: pa.RecordBatch, ids: pa.Array, trie: Trie) -> pa.RecordBatch:
+        back, given = decode_slice(trie, ids), b.column(text)
+        both_null = pc.and_(pc.is_null(back), pc.is_null(given))
+        same = pc.or_(pc.fill_null(pc.equal(back.cast(pa.string()), given.cast(pa.string())), False), both_null)
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), ids, same], columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = trie_of(vocab)
+        for b in slices(batches, f"c{text}"):
+            yield checked(b, encode_slice(trie, b.column(text)), trie)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = trie_of(vocab)
+        for b in batches:
+            for i in range(b.num_rows):         # giant texts one by one
+                yield checked(b.slice(i, 1), b.column("ids").slice(i, 1), trie)
+
+    short = map_arrow(df.filter(~long_text), run, out)
+    giants = df.filter(long_text).withColumns({"k1": F.xxhash64(col, F.length(col)), "k2": F.xxhash64(F.lit("sp"), col)})
+    found = giant_ids(giants.select("k1", "k2", col.alias("text")).distinct(), vocab, chunk)
+    return short.unionByName(map_arrow(giants.join(found, ["k1", "k2"]).drop("k1", "k2"), check, out))

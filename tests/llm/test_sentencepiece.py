@@ -92,3 +92,13 @@ def test_hash_table_holds_every_child():
     text = pa.array([p.replace("▁", " ") for p, _, _ in VOCAB.pieces[500:900]])
     flat = S.encode_slice(TRIE, text).flatten()
     assert len(flat) and set(np.asarray(flat)) <= {*ids, *VOCAB.byte_ids}
+
+
+def test_one_pass_round_trip_equals_encode_and_decode(spark, edges, nothing):
+    for giant, chunk in ((S.GIANT, S.CHUNK), (300, 64)):
+        back = S.decode(S.encode(edges, giant=giant, chunk=chunk))
+        at = edges.columns.index("text")
+        want = sorted(((r.c0, r.ids, r.decoded == r[f"c{at}"]) for r in back.collect()), key=str)
+        got = sorted(((r.c0, r.ids, r.round_trip) for r in S.round_trip(edges, giant=giant, chunk=chunk).collect()), key=str)
+        assert got == want
+    assert S.round_trip(nothing).count() == 0
