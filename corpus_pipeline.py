@@ -44,11 +44,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents with their token ids, checked by decoding them again."""
     names = docs.columns
-    back = sentencepiece_scan.decode(sentencepiece_scan.encode(docs))
-    text = F.col(f"c{names.index('text')}")
+    done = sentencepiece_scan.round_trip(docs)
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != "text"]
-    return back.select(*kept, F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids",
-                       F.col("decoded").eqNullSafe(text).alias("round_trip"))
+    return done.select(*kept, F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Stage]] = [
