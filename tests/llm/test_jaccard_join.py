@@ -122,49 +122,3 @@ def test_a_large_near_copy_group_stays_linear(spark, monkeypatch):
     got = J.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0}
     assert sizes["jaccard-star"] + sizes.get("jaccard-cross", 0) < 20 * len(rows)      # not 45,000 pairs
-
-
-def test_linked_sets_share_a_key():
-    """The pigeonhole, on sets as different as a link allows, of many sizes."""
-    rng = np.random.default_rng(5)
-    for n in [*range(1, 60), 97, 250, 999, 2400]:
-        for percent in (80, 85):
-            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-            n = len(a)
-            for m in {n, 100 * n // percent, max(1, -(-percent * n // 100))}:
-                o = J.need(n, m, percent)
-                if o > min(n, m):
-                    continue
-                b = np.sort(np.concatenate([rng.permutation(a)[:o], rng.integers(0, 1 << 63, m - o).astype(np.uint64)]))
-                row = np.repeat([0, 1], [n, m])
-                keys, sparse = J.group_keys(np.concatenate([a, b]), row, np.array([n, m]), percent)
-                x, y = (set(np.concatenate(k).tolist()) for k in keys)
-                if not x & y:       # both sparse in one band: found on the shingles' own lists
-                    assert set(sparse[0]) & set(sparse[1])
-                    assert set(a[: J.prefix(n, percent)].tolist()) & set(b[: J.prefix(m, percent)].tolist())
-
-
-def test_long_texts_with_common_passages_match_brute_force(spark):
-    rng = random.Random(8)
-    passage = ["p%d" % i for i in range(60)]
-    rows = near_copies(3, 6, [2200, 2600])
-    for i in range(60):         # unrelated texts around one passage, over a small vocabulary
-        rows.append((200_000 + i, " ".join(["s%d" % rng.randrange(40) for _ in range(rng.choice([150, 900]))] + passage)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.similarity_components(df).collect()), key=str)
-    assert got == brute(rows, 4, 85)
-
-
-def test_shared_passages_make_few_candidates(spark, monkeypatch):
-    rng = random.Random(9)
-    passage = ["p%d" % i for i in range(80)]
-    rows = [(i, " ".join(["w%d" % rng.randrange(60) for _ in range(1200)] + passage)) for i in range(120)]
-    sizes, real = {}, J.materialize
-
-    def counted(df, name):
-        out = real(df, name)
-        sizes[name] = sizes.get(name, 0) + out.count()
-        return out
-    monkeypatch.setattr(J, "materialize", counted)
-    J.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sizes["jaccard-star"] < len(rows)
