@@ -8,8 +8,6 @@ whole-stage codegen.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,16 +80,36 @@ TS_SHAPES = (
 )
 
 
+class UnknownTimestampFormat(ValueError):
+    """A text column has values, but none in a known shape."""
+
+
+def ts_votes(df: DataFrame, col: str) -> DataFrame:
+    """One row per known shape: ``pattern``, and ``n`` values of the column that have it; and a
+    row without a pattern for the values that have none. One aggregate over the column."""
+    text = F.trim(F.col(col))
+    shape = F.lit(None).cast("int")
+    for i, (regex, _) in reversed(list(enumerate(TS_SHAPES))):
+        shape = F.when(text.rlike(f"^(?:{regex})$"), F.lit(i)).otherwise(shape)
+    counts = df.where(F.col(col).isNotNull()).groupBy(shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    patterns = F.array(*[F.lit(fmt) for _, fmt in TS_SHAPES])
+    return counts.select(F.get(patterns, F.col("shape")).alias("pattern"), "shape", "n")
+
+
 def infer_ts_format(df: DataFrame, col: str) -> str:
-    """The pattern of a text column's timestamps, from its first value that has a known
-    shape among the first ``20`` non-null ones (a bounded read); the default otherwise."""
+    """The pattern of a text column's timestamps: the shape that most of its values have (ties:
+    the earlier in ``TS_SHAPES``), counted over the whole column, so it depends neither on
+    the rows' order nor on a few bad first values. The default for a column without values;
+    values without any known shape are an error, not an empty table."""
     if col not in df.columns or df.schema[col].dataType != T.StringType():
         return DEFAULT_TS_FORMAT
-    for (text,) in df.select(col).where(F.col(col).isNotNull()).limit(20).collect():
-        for shape, fmt in TS_SHAPES:
-            if re.fullmatch(shape, text.strip()):
-                return fmt
-    return DEFAULT_TS_FORMAT
+    votes = ts_votes(df, col).collect()         # one row per shape at most
+    known = [v for v in votes if v.shape is not None]
+    if not known:
+        if votes:
+            raise UnknownTimestampFormat(f"none of the {votes[0].n} values of {col!r} has a known timestamp shape; pass ts_format")
+        return DEFAULT_TS_FORMAT
+    return min(known, key=lambda v: (-v.n, v.shape)).pattern
 
 
 def timestamp_column(df: DataFrame, col: str, fmt: str = DEFAULT_TS_FORMAT) -> Column:

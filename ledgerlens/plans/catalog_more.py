@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.parse import ts_votes
 from ledgerlens.operators import fraud as FR
 from ledgerlens.operators import listing as P
 from ledgerlens.plans.catalog import q
@@ -17,6 +18,14 @@ from ledgerlens.session import shared_dir
 from ledgerlens.sources import fixtures as fx
 
 
+# --- C1 rejects ---------------------------------------------------------------------------
+@q("c1_shape_votes", with_views(
+    "select case when regexp_full_match(Timestamp, '\\d{4}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d') then 'yyyy-MM-dd HH:mm:ss' end as pattern, "
+    "count(*) as n from tx_raw where Timestamp is not null group by 1", "tx_raw"))
+def c1_votes(spark, sf):
+    return ts_votes(fx.tx_raw(spark, sf), TS).select("pattern", "n")
+
+
 # --- P2 by page number ---------------------------------------------------------------------
 @q("p2_deep_page_by_number", with_views(
     "select * from (select Transaction_ID, Timestamp, cast(row_number() over (order by Timestamp desc nulls last, Transaction_ID desc) "
