@@ -9,15 +9,23 @@ least ``PERCENT`` / 100, which fixes the least overlap ``need(a, b)`` of two set
   makes any linked pair share one of the first ``prefix(n)`` shingles of both sets, at
   positions that still leave room for the needed overlap, so only those are listed.
 
+Sets of more than ``SECTION`` shingles are listed by sections: the shingle space is cut by
+hash into 2, 4, 8, ... parts of that size at most on average, the number depending on the set's
+size. As a ratio of sums lies between its terms' ratios, linked sets have a section whose parts
+are as similar as the sets must be, so each part is listed and tried like a set of its own, and
+a bound of fixed size stays sharp for sets of any size. A set whose larger partners are cut
+finer is listed in both cuts.
+
 The boundary minimises the rows of both parts over the corpus's size histogram. The order
 ranks shingles by a fixed-size table of corpus counts, so very common shingles come last.
 
 Lists are not expanded into all pairs. Each list's first member (the one with the fewest
 rarer shingles) is compared with all others; verified links are contracted into
 components, and only lists that still hold two components are compared across components.
-No link between components is lost, so the components are exact. Candidate pairs are
-first tried on small parity bitmaps (256 bits inside the join, n/2 bits after it), whose distance never exceeds the sets' difference; the
-sets of the rest are fetched and compared in full.
+No link between components is lost, so the components are exact. Candidate pairs are first
+tried on small parity bitmaps (256 bits a section inside the join, n/2 bits after it), whose
+distance never exceeds the sets' difference; the sets of the rest are fetched and compared in
+full.
 
 Defined results: a text without words (or null) has size 0 and no links; with fewer words
 than the shingle length the whole sequence is the only shingle; null ids belong to
@@ -46,6 +54,7 @@ COUNTERS, BLOCK = 1 << 20, 1 << 14      # the table of shingle counts, and its s
 LIST_COST = 4                           # a listed shingle's cost in enumerated subsets
 MAX_LIGHT = 24                          # above it the subsets of one set alone exceed thousands
 SIEVE_BITS = 22
+SECTION = 256                           # a section's greatest mean size; its parities have as many bits
 LAST = (1 << 63) - 1                    # stands for a null id in joins
 
 
@@ -73,6 +82,13 @@ def light_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return min(range(MAX_LIGHT + 1), key=cost)
 
 
+def cuts(n: int, percent: int = PERCENT) -> list[int]:
+    """Numbers of sections (powers of two) that a set of size n is listed in: its own and
+    those of its larger partners."""
+    own, largest = (max(0, (-(-m // SECTION) - 1).bit_length()) for m in (n, 100 * n // percent))
+    return [1 << e for e in range(own, largest + 1)]
+
+
 def _doc():
     return F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc")
 
@@ -177,9 +193,11 @@ def parity_distance(x: bytes, y: bytes) -> int:
 
 
 def candidate_keys(docs: DataFrame, k: int, classes: np.ndarray, light: int, percent: int) -> DataFrame:
-    """Per row ``doc_id, sig`` and its packed candidate keys with positions: subset hashes
-    of light sets (position -1), listed shingles of heavy sets and of light sets that a
-    heavy one may link to; and the set's parities."""
+    """Per row ``doc_id, sig``, its packed candidate keys, the set's parities, and per
+    section ``sec, size, number of keys`` (``runs``) with its 256 parities (``folds``). Keys are
+    listed shingles of heavy sets and of light sets that a heavy one may link to, by
+    section (``sec`` is the number of sections plus the section's own), then subset hashes of
+    light sets (``sec`` 0)."""
     floor = -(-percent * (light + 1) // 100)        # least size that links to a heavy set
 
     def subsets(s: np.ndarray) -> np.ndarray:
@@ -192,45 +210,76 @@ def candidate_keys(docs: DataFrame, k: int, classes: np.ndarray, light: int, per
             out.append(key)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
+    def packed(ranked: np.ndarray) -> tuple[bytes, bytes, bytes]:
+        """Keys, runs and folds of one set, whose shingles come in the global order."""
+        n, keys, runs, bits = len(ranked), [], [], []
+        for cut in cuts(n, percent) if n >= max(floor, 1) else []:
+            # bits apart from those that choose the class and the parity's residue
+            part = ((ranked >> np.uint64(20)) & np.uint64(cut - 1)).astype(np.int64)
+            by = ranked[np.argsort(part, kind="stable")]
+            ends = np.cumsum(np.bincount(part, minlength=cut))
+            for j, end in enumerate(ends.tolist()):
+                section = by[ends[j - 1] if j else 0: end]
+                if len(section):
+                    listed = section[: prefix(len(section), percent)]
+                    keys.append(listed if cut == 1 else mix(listed + np.uint64(cut)))
+                    runs.append((cut + j, len(section), len(listed)))
+                    bits.append(folds(section))
+        if 0 < n <= light:
+            keys.append(subsets(np.sort(ranked)))
+            runs.append((0, n, len(keys[-1])))
+            bits.append(folds(ranked))
+        return (b"".join(x.tobytes() for x in keys), np.array(runs, np.int32).tobytes(),
+                b"".join(x.tobytes() for x in bits))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             s = Sets(b.column(1), k)
             rank = classes[(s.hash >> np.uint64(44)).astype(np.int64)]
-            order = np.lexsort((s.hash, rank, s.row))
-            ranked = s.hash[order]
-            keys, places, bits = [], [], []
-            fold = np.array([folds(s.of(i)) for i in range(b.num_rows)], np.int64).reshape(-1, 4)
-            for i, n in enumerate(s.size.tolist()):
-                listed = ranked[s.first[i]: s.first[i] + prefix(n, percent)] if n >= floor and n else ranked[:0]
-                part = subsets(s.of(i)) if 0 < n <= light else ranked[:0]
-                keys.append(np.concatenate([listed, part]).tobytes())
-                places.append(np.concatenate([np.arange(len(listed)), np.full(len(part), -1)]).astype(np.int32).tobytes())
-                bits.append(parity(s.of(i)))
+            ranked = s.hash[np.lexsort((s.hash, rank, s.row))]
+            parts = [packed(ranked[s.first[i]: s.first[i + 1]]) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(s.signatures(), pa.binary()), pa.array(keys, pa.binary()), pa.array(places, pa.binary()),
-                 pa.array(bits, pa.binary()), *(pa.array(fold[:, j]) for j in range(4))],
-                ["doc", "sig", "keys", "places", "bits", *FOLDS])
+                [b.column(0), pa.array(s.signatures(), pa.binary()),
+                 *(pa.array([p[j] for p in parts], pa.binary()) for j in range(3)),
+                 pa.array([parity(s.of(i)) for i in range(b.num_rows)], pa.binary())],
+                ["doc", "sig", "keys", "runs", "folds", "bits"])
 
-    return map_arrow(docs.select(_doc(), "text"), run, "doc long, sig binary, keys binary, places binary, bits binary, "
-                     "f0 long, f1 long, f2 long, f3 long")
+    return map_arrow(docs.select(_doc(), "text"), run,
+                     "doc long, sig binary, keys binary, runs binary, folds binary, bits binary")
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    """``cid, n, keys, places`` as one row per key: ``key, cid, n, pos``."""
+    """``cid, keys, runs`` as one row per key: ``key, cid, sec, n, pos``, where n is the
+    section's size and pos the key's place in its list (-1 for subsets)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 p = b.slice(a, 512)
-                keys = [np.frombuffer(x.as_py(), np.int64) for x in p.column(2)]
-                count = [len(x) for x in keys]
+                keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in p.column(1)])
+                runs = [np.frombuffer(x.as_py(), np.int32).reshape(-1, 3) for x in p.column(2)]
+                sec, n, count = np.concatenate(runs).T
+                cid = np.repeat(np.repeat(np.asarray(p.column(0)), [len(r) for r in runs]), count)
+                pos = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+                sec, n = np.repeat(sec, count), np.repeat(n, count)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys >> np.uint64(16)).cast(pa.int64()), pa.array(cid), pa.array(sec), pa.array(n),
+                     pa.array(np.where(sec == 0, -1, pos).astype(np.int32))], ["key", "cid", "sec", "n", "pos"])
+
+    return map_arrow(packed.select("cid", "keys", "runs"), run, "key long, cid long, sec int, n int, pos int")
+
+
+def section_parities(packed: DataFrame) -> DataFrame:
+    """``cid, sec`` and the section's 256 parities as ``FOLDS``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = [np.frombuffer(x.as_py(), np.int32).reshape(-1, 3) for x in b.column(1)]
+            if runs:
+                bits = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 4) for x in b.column(2)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.uint64) >> np.uint64(16)).cast(pa.int64()), pa.array(np.repeat(np.asarray(p.column(0)), count)),
-                     pa.array(np.repeat(np.asarray(p.column(1)), count)),
-                     pa.array(np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in p.column(3)]))],
-                    ["key", "cid", "n", "pos"])
+                    [pa.array(np.repeat(np.asarray(b.column(0)), [len(r) for r in runs])),
+                     pa.array(np.concatenate(runs)[:, 0]), *(pa.array(bits[:, j]) for j in range(4))], ["cid", "sec", *FOLDS])
 
-    return map_arrow(packed.select("cid", F.col("n").cast("int").alias("n"), "keys", "places"), run,
-                     "key long, cid long, n int, pos int")
+    return map_arrow(packed.select("cid", "runs", "folds"), run, "cid long, sec int, f0 long, f1 long, f2 long, f3 long")
 
 
 def _least(percent: int) -> str:
@@ -238,10 +287,11 @@ def _least(percent: int) -> str:
 
 
 def _possible(percent: int, light: int) -> str:
-    """Whether list entries x and y can be a link by size and position."""
+    """Whether list entries x and y can be a link by size and position. Keys differ between
+    cuts, so both entries of a pair are whole sets (``sec`` 0 or 1) or both are sections."""
     least = _least(percent)
     return (f"x.cid <> y.cid and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and "
-            f"(x.pos < 0 or (greatest(x.n, y.n) > {light} and x.n - x.pos >= {least} and y.n - y.pos >= {least}))")
+            f"(x.pos < 0 or ((x.sec > 1 or greatest(x.n, y.n) > {light}) and x.n - x.pos >= {least} and y.n - y.pos >= {least}))")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -312,13 +362,13 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     light = light_boundary(sizes, percent)
     keyed = candidate_keys(docs, k, order_classes(described), light, percent).filter("octet_length(keys) > 0")
     packed = materialize(keyed.join(classes, ["doc", "sig"]).dropDuplicates(["doc", "sig"])
-                         .select("cid", "n", "bits", *FOLDS, "keys", "places"), "jaccard-keys")
+                         .select("cid", "n", "bits", "keys", "runs", "folds"), "jaccard-keys")
 
     entries = unpack(packed)
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     lists = materialize(entries.join(shared, "key", "left_semi"), "jaccard-lists")
     possible = _possible(percent, light)
-    heads = lists.groupBy("key").agg(F.min(F.struct("pos", "n", "cid")).alias("y")).select("key", "y.*")
+    heads = lists.groupBy("key").agg(F.min(F.struct("pos", "n", "cid", "sec")).alias("y")).select("key", "y.*")
     star = (lists.alias("x").join(heads.alias("y"), "key").filter(possible)
             .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct())
     star = materialize(star, "jaccard-star")
@@ -329,11 +379,11 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
 
     # lists that still hold two components: every possible pair across components
     labelled = lists.join(roots.withColumnRenamed("v", "cid"), "cid", "left").select(
-        "key", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
+        "key", "cid", "sec", "n", "pos", F.coalesce("root", "cid").alias("root"))
     labelled = materialize(labelled, "jaccard-labelled")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    left = materialize(labelled.join(mixed, "key", "left_semi").join(packed.select("cid", *FOLDS), "cid"), "jaccard-mixed")
-    apart = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in FOLDS)      # at most the sets' difference
+    left = materialize(labelled.join(mixed, "key", "left_semi").join(section_parities(packed), ["cid", "sec"]), "jaccard-mixed")
+    apart = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in FOLDS)      # at most the sections' difference
     cross = (left.alias("x").join(left.alias("y"), "key").filter("x.root < y.root and " + possible)
              .filter(f"{apart} <= x.n + y.n - 2 * {_least(percent)}")
              .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()

@@ -133,3 +133,35 @@ def test_long_texts_with_common_passages_match_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.similarity_components(df).collect()), key=str)
     assert got == brute(rows, 4, 85)
+
+
+def test_a_section_of_linked_sets_is_as_similar_and_cut_alike():
+    assert J.cuts(J.SECTION) == [1, 2] and J.cuts(100) == [1] and J.cuts(J.SECTION + 1) == [2]
+    rng = np.random.default_rng(7)
+    for n in (300, 437, 512, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for lost, new in ((n // 20, n // 20), (0, n * 15 // 85), (n * 15 // 100, 0)):
+            b = np.unique(np.concatenate([a[lost:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
+            cut = J.cuts(max(len(a), len(b)))[0]
+            assert cut in J.cuts(len(a)) and cut in J.cuts(len(b))
+            parts = [(a[(a >> np.uint64(20)) % np.uint64(cut) == j], b[(b >> np.uint64(20)) % np.uint64(cut) == j])
+                     for j in range(cut)]
+            assert any(100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)) for x, y in parts)
+
+
+def test_unrelated_long_texts_of_one_list_are_not_paired(spark, monkeypatch):
+    """Long texts that share their rarest passage only: the bound inside the join holds."""
+    rng = random.Random(11)
+    passage = ["p%d" % i for i in range(80)]
+    rows = [(i, " ".join(["w%d" % rng.randrange(9) for _ in range(2500)] + passage)) for i in range(40)]
+    rows += [(100 + i, t + " end") for i, (_, t) in enumerate(rows[:5])]
+    sizes, real = {}, J.prune
+
+    def counted(pairs, packed, percent):
+        sizes[len(sizes)] = pairs.count()
+        return real(pairs, packed, percent)
+    monkeypatch.setattr(J, "prune", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.similarity_components(df).collect()), key=str)
+    assert got == brute(rows, 4, 85)
+    assert sizes[1] < 2 * len(rows)     # across components, of about 900 pairs
