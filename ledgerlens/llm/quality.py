@@ -11,7 +11,6 @@ empty ledger; extra columns of the input are not carried.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -118,12 +117,16 @@ def measures(text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), of_text)
 
 
+def fail_mask(of) -> Column:
+    """Every rule evaluated once on the measurements ``of(name)``: bit i is set where rule i fails."""
+    return sum((F.when(rule.column(of), F.lit(bit(r))).otherwise(F.lit(0)) for r, rule in RULES.items()),
+               F.lit(0)).cast("long")
+
+
 def ledger(docs: DataFrame) -> DataFrame:
-    """The measurements plus ``fail_mask``: bit i is set where rule i fails."""
+    """The measurements plus ``fail_mask``."""
     rows = docs.select("doc_id", measures(F.col("text")).alias("m")).select("doc_id", "m.*")
-    mask = sum((F.when(rule.column(F.col), F.lit(bit(r))).otherwise(F.lit(0)) for r, rule in RULES.items()),
-               F.lit(0)).cast("long")
-    return rows.withColumn("fail_mask", mask)
+    return rows.withColumn("fail_mask", fail_mask(F.col))
 
 
 def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -150,8 +153,7 @@ def ablation(rows: DataFrame) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The input rows that pass ``policy``, all columns unchanged. The verdict is a
-    projection of the row itself, so nothing is shuffled."""
-    good = let(measures(F.col("text")), lambda m: ~reduce(
-        Column.__or__, [RULES[r].column(lambda c: m[c]) for r in POLICIES[policy]]))
-    return docs.filter(good)
+    """The input rows that pass ``policy``, all columns unchanged. The ledger's failure bits
+    are a projection of the row itself, so nothing is shuffled; the policy is a mask on them."""
+    bits = let(measures(F.col("text")), lambda m: fail_mask(lambda c: m[c]))
+    return docs.filter(bits.bitwiseAND(F.lit(policy_mask(policy))) == 0)
