@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared without ASCII signs and case. Every ``SEED``-word window of a test
+Words are compared without ASCII signs and case; in scripts written without spaces every
+character is a word. Every ``SEED``-word window of a test
 item is a seed. A first pass counts in how many documents each seed occurs; seeds far
 more common than their item's others and than the corpus at large are common, the others
 rare. In the second pass every seed found in a document names a region around it: the
@@ -15,10 +16,14 @@ of the item's words for a leak, whatever their order: rarity saves work, it deci
 Test items are the stated query set: they are handled in blocks of about ``BLOCK_ITEMS``,
 each shipped to all tasks; the corpus is scanned, never shuffled.
 
-Defined results: a null or empty text is clean; items without ``MIN_ITEM_WORDS`` words are
-ordinary speech and are not searched (null items likewise); repeated rows are judged
-alike; ties between items go to the smallest id; an empty corpus gives an empty result,
-an empty benchmark a clean one; input columns are carried by position, so none can clash.
+Items of two words to ``MIN_ITEM_WORDS - 1`` also occur in ordinary speech: they are leaks
+where a whole line of the document consists of their words.
+
+Defined results: a null or empty text is clean; items of one word or none (null ones too) say
+nothing and are not searched; repeated rows are judged alike; ties between items go to the smallest id; an item
+with a null id is searched like others, counts in ``n_items`` and comes last in ties, its
+``item_id`` staying null; an empty corpus gives an empty result, an empty benchmark a clean
+one; input columns are carried by position, so none can clash.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import PUNCTUATION, Words, map_arrow, mix, slices
+from ledgerlens.llm.common import PUNCTUATION, Words, map_arrow, mix, slices, utf8
 
 SEED = 3
 THRESHOLD = 0.8
@@ -44,11 +50,36 @@ COMMON_TIMES = 8                    # times its item's median
 SIEVE_BITS = 18
 PAIRS, CELLS = 2048, 1 << 18        # alignments computed at once, and words of their regions
 HITS = 1 << 20                      # seed hits held at once
+NO_ID = np.iinfo(np.int64).max      # stands for a null item id: the last in ties
+
+# Thai and Lao, Myanmar, Khmer, kana, Han: scripts written without spaces
+_UNSPACED = (r"([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}"
+             r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{3FFFF}])")
+_LEAD = np.zeros(256, bool)         # first bytes of their characters
+_LEAD[[0xE0, 0xE1, *range(0xE3, 0xEA), 0xF0]] = True
+
+
+def item_words(column: pa.Array) -> Words:
+    """The words that are compared, of texts and items alike."""
+    if _LEAD[utf8(column)[0]].any():
+        column = pc.replace_substring_regex(column, _UNSPACED, r" \1 ")
+    return Words(column, True, PUNCTUATION)
+
+
+def short_hash(w: Words) -> np.ndarray:
+    """One hash of all words of each row of two to ``MIN_ITEM_WORDS - 1``, 0 for other rows."""
+    out = np.zeros(len(w.count), np.uint64)
+    for k in range(2, MIN_ITEM_WORDS):
+        h, at = w.shingles(k)
+        whole = w.count[w.row[at]] == k
+        out[w.row[at[whole]]] = mix(h[whole] + np.uint64(k))
+    return out
 
 
 @dataclass(frozen=True)
 class Block:
-    """Word hashes of some items (flat, with bounds) and their seeds, sorted by hash."""
+    """Word hashes of some items (flat, with bounds), their seeds sorted by hash, and the
+    short items sorted by the hash of all their words. Items are in the order of their ids."""
     item_id: np.ndarray
     words: np.ndarray
     first: np.ndarray
@@ -56,18 +87,22 @@ class Block:
     seed_item: np.ndarray
     seed_pos: np.ndarray
     rare: np.ndarray
+    short: np.ndarray
+    short_item: np.ndarray
 
     @classmethod
     def of(cls, rows: list) -> Block:
-        rows = sorted((r for r in rows if r.item_id is not None and r.text), key=lambda r: (r.item_id, r.text))
-        w = Words(pa.array([r.text for r in rows], pa.string()), True, PUNCTUATION)
+        rows = sorted(((NO_ID if r.item_id is None else r.item_id, r.text) for r in rows if r.text))
+        w = item_words(pa.array([text for _, text in rows], pa.string()))
         long_enough = w.count >= MIN_ITEM_WORDS
         h, at = w.shingles(SEED)
         item, pos = w.row[at], at - w.first[w.row[at]]
         ok = long_enough[item]
         order = np.argsort(h[ok], kind="stable")
-        return cls(np.array([r.item_id for r in rows], np.int64), w.hash, w.first,
-                   h[ok][order], item[ok][order], pos[ok][order], np.ones(len(order), bool))
+        whole = short_hash(w)
+        brief = np.flatnonzero(whole)[np.argsort(whole[whole > 0], kind="stable")]
+        return cls(np.array([i for i, _ in rows], np.int64), w.hash, w.first,
+                   h[ok][order], item[ok][order], pos[ok][order], np.ones(len(order), bool), whole[brief], brief)
 
     def with_rarity(self, df: dict[int, int], n_docs: int) -> Block:
         """The seeds that are rare in the corpus or for their item marked as such."""
@@ -153,9 +188,22 @@ def _regions(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return row[head], item[head], begin[head], stop[np.append(head[1:], len(row))[: len(head)] - 1]
 
 
+def short_leaks(column: pa.Array, block: Block) -> np.ndarray:
+    """(row, item) pairs, one column each, where a line consists of a short item's words."""
+    if not len(block.short):
+        return np.zeros((2, 0), np.int64)
+    lines = pc.split_pattern(column.fill_null(""), "\n")
+    row, h = np.asarray(pc.list_parent_indices(lines)), short_hash(item_words(pc.list_flatten(lines)))
+    lo, hi = (np.searchsorted(block.short, h, side) for side in ("left", "right"))
+    n = np.where(h > 0, hi - lo, 0)
+    which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.unique(np.stack([np.repeat(row, n), block.short_item[which]]), axis=1)
+
+
 def scan_slice(column: pa.Array, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row: best item id (-1: none), its similarity, and the number of leaked items."""
-    w = Words(column, True, PUNCTUATION)
+    """Per row: the most similar leaked item's id (``NO_ID``: none, or a null id), the best
+    similarity, and the number of leaked items."""
+    w = item_words(column)
     row, item, begin, stop = _regions(w, block)
     size, width = np.diff(block.first)[item], stop - begin
     order = np.lexsort((width, size // 8))            # pairs of like shape together
@@ -175,14 +223,17 @@ def scan_slice(column: pa.Array, block: Block) -> tuple[np.ndarray, np.ndarray,
         regions = padded_words[np.where(k < width[p][:, None], (w.first[row[p]] + begin[p])[:, None] + k, len(w.hash))]
         similar[p] = align(regions, items) / (MATCH * m)
     n = len(w.count)
+    brief = short_leaks(column, block)
+    row, item = np.concatenate([row, brief[0]]), np.concatenate([item, brief[1]])
+    similar = np.concatenate([similar, np.ones(brief.shape[1])])
     leak = np.flatnonzero(similar >= THRESHOLD)
     best_item, best, count = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n, np.int64)
     np.maximum.at(best, row, similar)
-    for i in leak[np.lexsort((-block.item_id[item[leak]], similar[leak], row[leak]))]:
-        best_item[row[i]] = block.item_id[item[i]]     # the last one written per row: most similar, smallest id
+    for i in leak[np.lexsort((-item[leak], similar[leak], row[leak]))]:
+        best_item[row[i]] = item[i]                    # the last one written per row: most similar, smallest id
     pairs = np.unique(np.stack([row[leak], item[leak]]), axis=1) if len(leak) else np.zeros((2, 0), np.int64)
     np.add.at(count, pairs[0], 1)
-    return best_item, best, count
+    return np.append(block.item_id, NO_ID)[best_item], best, count
 
 
 def seed_frequencies(docs: DataFrame, block: Block) -> tuple[dict[int, int], int]:
@@ -191,7 +242,7 @@ def seed_frequencies(docs: DataFrame, block: Block) -> tuple[dict[int, int], int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(block.seed), np.int64), 0
         for b in slices(batches):
-            w = Words(b.column(0), True, PUNCTUATION)
+            w = item_words(b.column(0))
             at, lo, _ = _hits(w, block)
             if len(at):
                 pairs = np.unique(np.stack([w.row[at], lo]), axis=1)
@@ -232,11 +283,10 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in slices(batches, f"c{text}"):
                 item, best, count = scan_slice(b.column(text), block)
                 k = len(names)
-                was_item, was_best, was_count = (b.column(k + j).to_numpy(zero_copy_only=False) for j in range(3))
-                was_item = np.where(np.isnan(was_item.astype(float)), -1, was_item).astype(np.int64)
-                new = (item >= 0) & ((was_item < 0) | (best > was_best) | ((best == was_best) & (item < was_item)))
+                was_item, was_best, was_count = (np.asarray(c) for c in (b.column(k).fill_null(NO_ID), b.column(k + 1), b.column(k + 2)))
+                new = (count > 0) & ((was_count == 0) | (best > was_best) | ((best == was_best) & (item < was_item)))
                 item = np.where(new, item, was_item)
-                cols = [*b.columns[:k], pa.array(item, pa.int64(), mask=item < 0),
+                cols = [*b.columns[:k], pa.array(item, pa.int64(), mask=item == NO_ID),
                         pa.array(np.maximum(best, was_best)), pa.array(count + was_count)]
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
                     [(f.name, c.type) for f, c in zip(out.fields, cols)]))

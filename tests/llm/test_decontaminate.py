@@ -137,3 +137,29 @@ def test_inserted_blocks_do_not_split_a_copy(spark):
     assert all(abs(got[d].similarity - s) < 1e-12 for d, s in want.items() if s >= 0.8)
     assert abs(got[80].similarity - 0.92) < 1e-12 and got[80].item_id == 50
     assert sum(s < 0.8 for s in want.values()) > 5
+
+
+def test_short_unspaced_and_nameless_items(spark):
+    """Short items are leaks as whole lines only; unspaced scripts are compared by character."""
+    zh = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u5427"
+    edited = zh[:5] + "\u8bd7" + zh[6:]                                # one character of fifteen replaced: 0.92 or so
+    other = "\u5b66\u4e60\u8ba9\u4eba\u8fdb\u6b65"
+    nameless = " ".join("n%d" % k for k in range(9))
+    big = 2 ** 60 + 1
+    bench = spark.createDataFrame([(1, "What is it?", "e"), (2, zh, "e"), (None, nameless, "e"), (3, "...", "e"),
+                                   (big, "Say: yes", "e"), (-4, " ".join("m%d" % k for k in range(9)), "e")], BENCH)
+    docs = [(0, "first line\n  what IS it\nlast line"), (1, "nobody knows what is it about"), (2, "x" + other + zh + other),
+            (3, edited), (4, other * 4), (5, "k " + nameless), (6, "..."), (7, "say yes"), (8, "say yes\nwhat is it"),
+            (9, None), (10, ""), (11, " ".join("m%d" % k for k in range(9)))]
+    got = {r.c0: (r.item_id, r.n_items) for r in D.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {0: (1, 1), 1: (None, 0), 2: (2, 1), 3: (2, 1), 4: (None, 0), 5: (None, 1), 6: (None, 0), 7: (big, 1),
+                   8: (1, 2), 9: (None, 0), 10: (None, 0), 11: (-4, 1)}
+
+
+def test_short_items_in_several_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, "word%d and more" % i, "e") for i in range(30)], BENCH)
+    docs = spark.createDataFrame([(d, "\n".join("word%d and more" % i for i in range(d))) for d in range(30)], "doc_id long, text string")
+    one = sorted(D.scan(docs, bench).collect())
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 7)
+    assert sorted(D.scan(docs, bench).collect()) == one
+    assert [(r.n_items, r.item_id) for r in one] == [(d, 0 if d else None) for d in range(30)]
