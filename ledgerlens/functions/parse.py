@@ -23,10 +23,11 @@ def _col(c: str | Column) -> Column:
 
 
 def na_to_null(c: str | Column, tokens: list[str] | None = None) -> Column:
-    """Missing-value tokens (``NA``, ``null``, empty, ...) → NULL; other text kept."""
+    """Missing-value tokens (``NA``, ``null``, empty, ...) → NULL; other text is kept, a
+    token with blanks around it too."""
     c = _col(c)
     toks = NA_TOKENS if tokens is None else tokens
-    return F.when(F.trim(c).isin(*toks), F.lit(None).cast("string")).otherwise(c)
+    return F.when(c.isin(*toks), F.lit(None).cast("string")).otherwise(c)
 
 
 def parse_number(c: str | Column) -> Column:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.clean import clip_amount, drop_incomplete, fill_unknown, iqr_upper_bound
+from ledgerlens.operators.filters import distinct_values
 from ledgerlens.schema import AMOUNT, CATEGORY, PAYMENT, TS
 
+MAX_CATEGORIES = 10_000      # one-hot columns of one fit
+
 
 def time_features(df: DataFrame, ts_col: str = TS) -> DataFrame:
     """Hour, day_of_week (0 = Monday), month, is_weekend."""
@@ -42,9 +45,16 @@ def scaled_column(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 
 
 def fit_categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """E3 fit: sorted distinct values per categorical column (dimension-sized)."""
-    r = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).first()
-    return {c: list(r[c] or []) for c in cols}
+    """E3 fit: sorted distinct non-null values per categorical column. The distinct is
+    distributed and each value becomes a column, so more than ``MAX_CATEGORIES`` in all are
+    an error: at most that many rows and one reach the driver."""
+    rows = distinct_values(df, [(c, c) for c in cols]).limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"over {MAX_CATEGORIES} distinct values in {', '.join(cols)}: too many for a column each")
+    vocab: dict[str, list[str]] = {c: [] for c in cols}
+    for r in rows:
+        vocab[r.field].append(r.value)
+    return {c: sorted(v) for c, v in vocab.items()}
 
 
 def one_hot(df: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
@@ -74,13 +84,8 @@ class Preprocessor:
         base = self._clean(df)
         self.upper = iqr_upper_bound(base, exact=self.exact_quantiles)
         clipped = clip_amount(base, self.upper)
-        # scaler statistics and category vocabularies in one pass
-        cats = [PAYMENT, CATEGORY]
-        r = clipped.agg(F.avg(AMOUNT).alias("m"), F.stddev_pop(AMOUNT).alias("s"),
-                        *[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cats]).first()
-        self.mean = float(r["m"]) if r["m"] is not None else 0.0
-        self.std = float(r["s"]) if r["s"] is not None else 0.0
-        self.vocab = {c: list(r[c] or []) for c in cats}
+        self.mean, self.std = fit_scaler(clipped)
+        self.vocab = fit_categories(base, [PAYMENT, CATEGORY])
         self.fitted = True
         return self
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,16 @@ FILTER_FIELDS = (("locations", LOCATION), ("payment_methods", PAYMENT), ("mercha
 
 
 def filter_values_long(df: DataFrame) -> DataFrame:
-    """F5 in long form ``(field, value)``: the distinct happens in a grouped
-    shuffle (partially deduplicated in every task), so no single task ever
-    sees more than its share of the values."""
-    parts = [df.select(F.lit(name).alias("field"), F.col(c).cast("string").alias("value"))
-             for name, c in FILTER_FIELDS]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.where(F.col("value").isNotNull()).distinct()
+    """F5 in long form ``(field, value)`` (see ``distinct_values``)."""
+    return distinct_values(df, FILTER_FIELDS)
+
+
+def distinct_values(df: DataFrame, fields: Iterable[tuple[str, str]]) -> DataFrame:
+    """Distinct non-null ``(field, value)`` of the columns named by ``(field, column)`` pairs.
+    One scan gives every row's values; the distinct happens in a grouped shuffle (partially
+    deduplicated in every task), so no single task ever sees more than its share of them."""
+    pairs = [F.struct(F.lit(name).alias("field"), F.col(c).cast("string").alias("value")) for name, c in fields]
+    return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()).distinct()
 
 
 def filter_values(df: DataFrame) -> DataFrame:

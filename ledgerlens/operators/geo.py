@@ -27,10 +27,11 @@ def _max_value() -> Column:
 
 def map_points(sales: DataFrame, coords: DataFrame | None = None) -> DataFrame:
     """Attach coordinates (unknown locations dropped) and a bubble radius
-    ``max(5, value / max · 25)``."""
-    coords = coords if coords is not None else province_table(sales.sparkSession)
+    ``max(5, value / max · 25)``. The fixed table is broadcast; how a caller's own is joined
+    follows its size."""
+    coords = coords if coords is not None else F.broadcast(province_table(sales.sparkSession))
     s = sales.withColumn("max_value", _max_value())   # before the join drops unknown places
-    j = s.join(F.broadcast(coords), s["label"] == coords["province"])
+    j = s.join(coords, s["label"] == coords["province"])
     return j.select("label", "value", "lat", "lon",
                     F.greatest(F.lit(BUBBLE_MIN_RADIUS), F.col("value") / F.col("max_value") * F.lit(BUBBLE_SCALE))
                     .alias("radius"))

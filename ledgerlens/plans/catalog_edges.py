@@ -54,6 +54,19 @@ def s1(spark, sf):
     return read_transactions(spark, path).select(TX_ID, AMOUNT, CATEGORY, LOCATION)
 
 
+_PADDED = """pd as (select Transaction_ID, case cast(substr(Transaction_ID, 2) as bigint) % 4 when 0 then ' NA ' when 1 then 'NA'
+  when 2 then ' ' else Location end as Location from tx_raw)"""
+
+
+@q("s2_padded_token", with_views("select Transaction_ID, nullif(Location, 'NA') as Location from pd", "tx_raw", extra=[_PADDED]))
+def s2_padded(spark, sf):
+    n = F.expr("cast(substr(Transaction_ID, 2) as bigint)") % 4
+    d = fx.tx_raw(spark, sf).withColumn(LOCATION, F.when(n == 0, " NA ").when(n == 1, "NA").when(n == 2, " ").otherwise(F.col(LOCATION)))
+    path = shared_dir(spark, "fixtures/padded-" + hashlib.sha1(sf.encode()).hexdigest()[:12] + ".csv")
+    write_transactions_csv(d, path)
+    return read_transactions(spark, path).select(TX_ID, LOCATION)
+
+
 # --- C1, C3, C8, C9, C12, money -----------------------------------------------------
 def _typed(spark, sf, kind: str) -> DataFrame:
     """The raw rows with timestamps of another type or text shape, made from the parsed ones."""
@@ -195,6 +208,28 @@ def u6_given(spark, sf):
     return U.user_analytics(fx.tx_o(spark, sf), _given(spark, sf))["top_users"]
 
 
+_U8_PARTS = {
+    "segments": "select Segment_Name as label, cast(sum(cast(Monetary as decimal(28,6))) as double) as value from seg group by 1",
+    "top_users": "select cast(User_ID as varchar), trunc(Monetary) from (select * from seg order by Monetary desc, User_ID limit 10)",
+    "by_hour": "select cast(hour(Timestamp) as varchar), cast(count(Transaction_ID) as double) from tx group by 1",
+    "by_day": "select cast(isodow(Timestamp) - 1 as varchar), cast(count(Transaction_ID) as double) from tx group by 1"}
+
+
+@q("u8_all_parts", with_views(
+    " union all ".join(f"select '{part}' as part, label, value from ({sql}) as t(label, value)" for part, sql in _U8_PARTS.items()), "tx",
+    extra=[_rfm_sql("tx"), *_GIVEN[1:]]))
+def u8_all(spark, sf):
+    """All four lists of the user analytics, on given segments, as (part, label, value)."""
+    d = fx.tx(spark, sf)
+    seg = U.name_segments(U.rfm(d).withColumn("Cluster", (F.col("Frequency") % 6).cast("int")))
+    got = U.user_analytics(d, seg)
+    named = {"segments": ("segment", "total_spend"), "top_users": ("user_id", "total_spend"),
+             "by_hour": ("label", "value"), "by_day": ("weekday_no", "value")}
+    parts = [got[part].select(F.lit(part).alias("part"), F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"))
+             for part, (label, value) in named.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @q("u9_profile_of_given_segments", with_views(
     "select Segment_Name, count(*) as users, round(avg(Recency), 6) as mean_recency, round(avg(Frequency), 6) as mean_frequency, "
     "round(avg(Monetary), 4) as mean_monetary from seg group by 1", "tx_o", extra=_GIVEN))

@@ -27,4 +27,5 @@ def read_transactions(spark: SparkSession, path: str, na_tokens: list[str] | Non
 
 def write_transactions_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a transaction frame as headered CSV (one file per partition)."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

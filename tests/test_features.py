@@ -1,6 +1,8 @@
 import datetime as dt
 import math
 
+import pytest
+
 from ledgerlens.operators.features import Preprocessor, fit_categories, one_hot, time_features
 
 SCHEMA = ("Transaction_ID string, User_ID string, Amount_VND double, Timestamp timestamp_ntz, "
@@ -39,6 +41,16 @@ def test_preprocessor_fit_transform(spark):
     assert r.Amount_VND == 10.0 and r["Payment_Method_Card"] == 0.0 and r["Payment_Method_QR"] == 0.0
 
 
+def test_too_many_categories_are_an_error(spark, monkeypatch):
+    from ledgerlens.operators import features as E
+
+    df = spark.createDataFrame(_rows(), SCHEMA)
+    monkeypatch.setattr(E, "MAX_CATEGORIES", 2)
+    assert E.fit_categories(df, ["Payment_Method"]) == {"Payment_Method": ["Card", "QR"]}
+    with pytest.raises(ValueError, match="distinct values"):
+        E.fit_categories(df, ["Payment_Method", "Merchant_Category"])
+
+
 def test_one_hot_vocab(spark):
     df = spark.createDataFrame(_rows(), SCHEMA)
     vocab = fit_categories(df, ["Payment_Method"])

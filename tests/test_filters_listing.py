@@ -43,6 +43,13 @@ def test_filter_values(spark):
     assert ("locations", "TP.HCM") in long and len(long) == 7
 
 
+def test_filter_values_read_the_table_once(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    _tx(spark, _rows()).write.parquet(path)
+    plan = FL.filter_values(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_search(spark):
     rows = _rows() + [("X1", None, 1.0, dt.datetime(2026, 2, 1), "QR", None, None, 0)]
     df = _tx(spark, rows)
