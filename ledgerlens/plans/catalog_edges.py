@@ -26,6 +26,7 @@ from ledgerlens.schema import (
 from ledgerlens.session import shared_dir
 from ledgerlens.sources import fixtures as fx
 from ledgerlens.sources.csv import read_transactions, write_transactions_csv
+from ledgerlens.sources.dataset import open_dataset
 
 NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in SEGMENT_NAMES) + "]"
 
@@ -67,6 +68,39 @@ def s2_padded(spark, sf):
     return read_transactions(spark, path).select(TX_ID, LOCATION)
 
 
+# --- S3, S4 ------------------------------------------------------------------------
+_SPAN = "1996-03-15", "1997-02-01"
+
+
+def _delivered(spark, sf) -> str:
+    """The clean multi-month rows delivered as a headered CSV folder."""
+    path = shared_dir(spark, "fixtures/orders-" + hashlib.sha1(sf.encode()).hexdigest()[:12] + ".csv")
+    write_transactions_csv(fx.tx_o(spark, sf).withColumn(TS, F.date_format(TS, "yyyy-MM-dd HH:mm:ss")), path)
+    return path
+
+
+@q("s3_reused_clean_table", with_views(
+    "select Merchant_Category, count(*) as n, (select count(*) from tx_o) as n_all from tx_o group by 1", "tx_o"))
+def s3_reused(spark, sf):
+    """Two questions to one dataset, both answered from its cleaned table as written once."""
+    ds = open_dataset(spark, _delivered(spark, sf))
+    ds.materialize()
+    n_all = ds.cleaned().count()
+    return ds.cleaned().groupBy(CATEGORY).agg(F.count(F.lit(1)).alias("n"), F.lit(n_all).cast("long").alias("n_all"))
+
+
+@q("s4_switched_and_pruned", with_views(
+    "select Transaction_ID, Timestamp, Amount_VND, Location from tx_o "
+    f"where Timestamp >= timestamp '{_SPAN[0]}' and Timestamp < timestamp '{_SPAN[1]}'", "tx_o"))
+def s4_switched(spark, sf):
+    """From another dataset to this one; a time range then reads its months only."""
+    before = open_dataset(spark, f"{sf.rstrip('/')}/orders.parquet")
+    ds = open_dataset(spark, _delivered(spark, sf), previous=before)
+    assert before.closed and not ds.closed
+    ds.materialize()
+    return ds.between(*_SPAN).select(TX_ID, TS, AMOUNT, LOCATION)
+
+
 # --- C1, C3, C8, C9, C12, money -----------------------------------------------------
 def _typed(spark, sf, kind: str) -> DataFrame:
     """The raw rows with timestamps of another type or text shape, made from the parsed ones."""
@@ -295,3 +329,11 @@ def m13_given(spark, sf):
     out = FR.compare_models(_given_rules(spark, sf))
     return out.select("metric", F.round("value_a", 6).alias("value_a"), F.round("value_b", 6).alias("value_b"), "winner",
                       F.round("margin", 6).alias("margin"))
+
+
+@q("u10_export_of_given_segments", with_views(
+    "select User_ID, Segment_Name, Recency, Frequency, Monetary from seg", "tx_o", extra=_GIVEN))
+def u10_given(spark, sf):
+    path = shared_dir(spark, "fixtures/segments-" + hashlib.sha1(sf.encode()).hexdigest()[:12])
+    U.export_segments(_given(spark, sf), path)
+    return spark.read.parquet(path).select(USER_ID, "Segment_Name", "Recency", "Frequency", "Monetary")
