@@ -34,14 +34,15 @@ def test_pipeline_keeps_what_each_stage_alone_decides(spark):
     assert out.filter("not round_trip or n_tokens <> size(ids)").count() == 0
 
 
-NAMES = ["op1_quality_rules", "op4_warc", "op7_ngram_jaccard_join", "op10_line_dedup"]
+NAMES = ["op1_quality_rules", "op4_warc", "op7_ngram_jaccard_join", "op10_line_dedup",
+         "op12_lexical_search", "op13_prefix_trie"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_queries_match_their_sql(spark, name):
     from ledgerlens.llm.queries import ORACLE, QUERIES
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{os.path.join(SF, t)}.parquet')")
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
