@@ -10,6 +10,7 @@ from ledgerlens.operators.clean import with_default
 from ledgerlens.schema import (
     AMOUNT, CATEGORY, FRAUD, LOCATION, PAYMENT, RISK, SORTABLE_COLUMNS, TS, TX_ID, USER_ID,
 )
+from ledgerlens.session import written
 
 
 def sort_keys(sort_by: str = TS, sort_order: str = "desc") -> list[Column]:
@@ -68,6 +69,7 @@ def page_after(df: DataFrame, last_value, last_id: str | None, sort_by: str = TS
 
 ROW_HASH = "_row_hash"
 PIVOTS, SPAN = 32, 10_000       # keys counted per pass, and rows a page may be sought in
+MANY_KEYS = 1 << 20             # keys left after a pass that are written for the next one
 
 
 def _before(keys: list[tuple[str, bool]], at: list) -> Column:
@@ -92,11 +94,12 @@ def rank_start(rows: DataFrame, keys: list[tuple[str, bool]], offset: int, span:
 
     Each pass draws ``pivots`` keys of the rows still in question (by a hash, so evenly) and
     counts the rows before each in one global aggregate; the two around ``offset`` bound the next
-    pass. Passes grow with the logarithm of the table; only keys and counts reach the driver."""
+    pass. While many keys are left they are written between passes, so all passes together read
+    a few times the table's keys. Passes grow with the logarithm of the table; only keys and counts reach the driver."""
     names = [k for k, _ in keys]
     order = [F.col(k).asc_nulls_last() if asc else F.col(k).desc_nulls_last() for k, asc in keys]
-    start, below, part = None, 0, rows.select(*names)
-    left = None
+    start, end, below, base = None, None, 0, rows.select(*names)
+    part, left = base, None
     while left is None or left > span:
         drawn = part.orderBy(F.xxhash64(*names)).limit(pivots).distinct().orderBy(*order).collect()
         if not drawn:
@@ -106,16 +109,20 @@ def rank_start(rows: DataFrame, keys: list[tuple[str, bool]], offset: int, span:
         stop = next((i for i in range(len(drawn)) if below + counts[f"c{i}"] > offset), None)
         high = counts[f"c{stop}"] if stop is not None else counts["all"]
         low = counts[f"c{ahead[-1]}"] if ahead else 0
-        new = part
         if stop is not None:
-            new = new.where(_before(keys, list(drawn[stop])))
+            end = list(drawn[stop])
         if ahead:
             start, below = list(drawn[ahead[-1]]), below + low
-            new = new.where(~_before(keys, start))
-        part = new
+        part = base     # the newest bounds imply the earlier ones
+        if end is not None:
+            part = part.where(_before(keys, end))
+        if start is not None:
+            part = part.where(~_before(keys, start))
         if left is not None and high - low >= left:      # the rows left all have one key
             break
         left = high - low
+        if left > max(span, MANY_KEYS):
+            part = base = written(part, "page-keys")
     return start, below
 
 
@@ -123,7 +130,8 @@ def page_at(df: DataFrame, page_no: int, page_size: int = 20, sort_by: str = TS,
             span: int = SPAN, pivots: int = PIVOTS) -> DataFrame:
     """P2 by page number at any depth: the rank of the page's first row is narrowed to a key
     near it (:func:`rank_start`), rows before that key are filtered out, and the top-k keeps
-    fewer than ``span + page_size`` rows per task instead of ``page_no * page_size``.
+    fewer than ``span + page_size`` rows per task instead of ``page_no * page_size``. ``df`` is
+    computed once and written; the passes read its key columns.
 
     The order is that of :func:`page` with a hash of the whole row behind the id, so rows equal
     in sort value and id (or without an id) are told apart and pages never overlap; only
@@ -131,7 +139,7 @@ def page_at(df: DataFrame, page_no: int, page_size: int = 20, sort_by: str = TS,
     col = sort_by if sort_by in SORTABLE_COLUMNS else TS
     asc = (sort_order or "").lower() == "asc"
     keys = [(col, asc), (TX_ID, asc), (ROW_HASH, True)]
-    rows = df.withColumn(ROW_HASH, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    rows = written(df.withColumn(ROW_HASH, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), "page-rows")
     offset = max((page_no - 1) * page_size, 0)
     start, below = rank_start(rows, keys, offset, span, pivots)
     if start is not None:

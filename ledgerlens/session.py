@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime re-planning: coalesce small shuffle partitions, split skewed join
 # partitions (a hot key holding a large share of rows), and demote joins to
@@ -57,6 +60,19 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     return f"{base}/{sub}" if sub else base
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read back, so that several passes over it
+    compute it once and read only the columns they need. Any column names and untyped
+    (``void``) columns are kept."""
+    fields = df.schema.fields
+    path = shared_dir(df.sparkSession, f"scratch/{name}-{uuid.uuid4().hex}")
+    plain = df.toDF(*[f"c{i}" for i in range(len(fields))])
+    plain = plain.withColumns({f"c{i}": F.col(f"c{i}").cast("string") for i, f in enumerate(fields) if f.dataType.typeName() == "void"})
+    plain.write.parquet(path)
+    back = df.sparkSession.read.schema(plain.schema).parquet(path)
+    return back.select(*[(F.lit(None) if f.dataType.typeName() == "void" else F.col(f"c{i}")).alias(f.name) for i, f in enumerate(fields)])
+
+
 def advisory_bytes(spark: SparkSession) -> int:
     """The size a task's data should have, as the session's adaptive execution is told."""
     text = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m").strip().lower().rstrip("b")

@@ -47,3 +47,28 @@ def test_beyond_the_end_and_empty(spark):
     assert P.page_at(df, 1000, 20, "Amount_VND", "asc", span=10).count() == 0
     assert P.page_at(df.limit(0), 3, 20).count() == 0 if "Timestamp" in df.columns else True
     assert [r.note for r in P.page_at(df, 0, 3, "Amount_VND").collect()] == [r.note for r in P.page_at(df, 1, 3, "Amount_VND").collect()]
+
+
+def test_table_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(3000, numPartitions=3).select(F.concat(F.lit("T"), "id").alias("Transaction_ID"), (F.col("id") % 7).cast("double").alias("Amount_VND"),
+                                                   F.lit(None).alias("none"), F.lit(1).alias("odd, name"))
+    plain = df.drop("none").mapInArrow(count, df.drop("none").schema).withColumn("none", F.lit(None))
+    got = P.page_at(plain, 50, 20, "Amount_VND", "asc", span=20, pivots=4)
+    assert got.dtypes == plain.dtypes
+    want = [r.Transaction_ID for r in P.page(df, "Amount_VND", "asc", 50, 20).collect()]
+    assert [r.Transaction_ID for r in got.collect()] == want
+    assert seen.value == 3000
+
+
+def test_keys_left_are_written_between_passes(spark, monkeypatch):
+    df = table(spark)
+    want = [[tuple(r) for r in P.page_at(df, no, 50, "Amount_VND", "asc", span=20, pivots=5).collect()] for no in (1, 7, 15)]
+    monkeypatch.setattr(P, "MANY_KEYS", 10)
+    assert [[tuple(r) for r in P.page_at(df, no, 50, "Amount_VND", "asc", span=20, pivots=5).collect()] for no in (1, 7, 15)] == want
