@@ -41,6 +41,7 @@ from ledgerlens.operators import filters as FL
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators.rank import numbered
 from ledgerlens.schema import AMOUNT, CATEGORY, FRAUD, LOCATION, PAYMENT, TS, TX_ID, USER_ID, FilterParams
+from ledgerlens.session import written
 from ledgerlens.sources.versions import VersionLog
 
 MONTH = "month"
@@ -48,6 +49,7 @@ DIMENSIONS = [MONTH, LOCATION, CATEGORY, PAYMENT, "hr", "weekday"]
 CELL_SUMS = ("amt", "n", "n_ids", "fraud")
 PLACES = [MONTH, "day", LOCATION, CATEGORY, PAYMENT, "bucket"]
 USER_KEYS = [USER_ID, MONTH, PAYMENT]
+COLUMNS = [TX_ID, USER_ID, AMOUNT, TS, PAYMENT, CATEGORY, LOCATION, FRAUD]      # read of a transaction
 TABLES = ("cells", "codes", "days", "users")
 
 
@@ -63,11 +65,14 @@ def cells_of(df: DataFrame) -> DataFrame:
 
 def days_of(df: DataFrame, codes: DataFrame) -> DataFrame:
     """Bitmaps of user codes. Rows of users are first reduced to distinct (place, user), then
-    coded; a day whose rows all lack a user keeps a row without a bitmap."""
+    coded; a day whose rows all lack a user keeps a row without a bitmap. Codes grow with the
+    users, so they are merged, never broadcast; and coded rows meet in one task by day and
+    2 million codes before their bitmaps are made, so no bitmap (4 KB each) is exchanged."""
     seen = df.select(_month().alias(MONTH), F.to_date(TS).alias("day"), LOCATION, CATEGORY, PAYMENT, USER_ID).distinct()
-    coded = seen.join(codes, USER_ID, "left")
-    return (coded.groupBy(MONTH, "day", LOCATION, CATEGORY, PAYMENT, F.expr("bitmap_bucket_number(code)").alias("bucket"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(code)) filter (where code is not null)").alias("users")))
+    coded = seen.join(codes.hint("merge"), USER_ID, "left").withColumn("bucket", F.expr("bitmap_bucket_number(code)"))
+    near = coded.withColumn("buckets", F.shiftright("bucket", 6)).repartition(MONTH, "day", "buckets")
+    return (near.groupBy(*PLACES, "buckets")
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(code)) filter (where code is not null)").alias("users")).drop("buckets"))
 
 
 def users_of(df: DataFrame) -> DataFrame:
@@ -88,11 +93,13 @@ class Rollup:
 
     # -- writing ------------------------------------------------------------
     def add(self, df: DataFrame) -> None:
-        """Adds the rows of ``df`` (cleaned transactions not added before)."""
+        """Adds the rows of ``df`` (cleaned transactions not added before). They are computed once:
+        all four tables are made from a written copy of their columns, outside the roll-up."""
+        df = written(df.select(*COLUMNS), "rollup-rows")
         known = self.table("codes") if self.parts["codes"] else None
         fresh = df.where(F.col(USER_ID).isNotNull()).select(USER_ID).distinct()
         if known is not None:
-            fresh = fresh.join(known, USER_ID, "left_anti")
+            fresh = fresh.join(known.hint("merge"), USER_ID, "left_anti")
         ranked = numbered(fresh, self.log.fresh("code-order"), F.col(USER_ID), name="code")
         part = {"codes": self._write(ranked.select(USER_ID, (F.col("code") + F.lit(self.n_users - 1)).cast("long").alias("code")), "codes")}
         codes = self.spark.read.parquet(part["codes"])
@@ -100,7 +107,7 @@ class Rollup:
         if known is not None:
             codes = codes.unionByName(known)
         part["cells"] = self._write(cells_of(df), "cells")
-        part["days"] = self._write(days_of(df, codes), "days")
+        part["days"] = self._write(days_of(df, codes), "days", by_day=True)
         part["users"] = self._write(users_of(df), "users")
         self._commit({t: [*self.parts[t], part[t]] for t in TABLES}, self.n_users + added)
 
@@ -109,10 +116,11 @@ class Rollup:
         merged = {"cells": self.cells(), "codes": self.table("codes"), "days": self.days(), "users": self.users()}
         self._commit({t: [self._write(merged[t], t)] for t in TABLES}, self.n_users)
 
-    def _write(self, df: DataFrame, name: str) -> str:
+    def _write(self, df: DataFrame, name: str, by_day: bool = False) -> str:
         path = self.log.fresh(name)
         if name in ("cells", "days"):       # months are folders, so a time range reads its own
-            df.hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
+            # rows that already lie together by day make few files a month as they are
+            (df if by_day else df.hint("rebalance", MONTH)).write.partitionBy(MONTH).parquet(path)
         else:
             df.write.parquet(path)
         self.schemas[name] = df.schema.json()

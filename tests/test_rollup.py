@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import customers as U
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators.filters import apply_filters
-from ledgerlens.plans.rollup import Rollup, Router
+from ledgerlens.plans.rollup import Rollup, Router, days_of
 from ledgerlens.schema import LOCATION, FilterParams
 from ledgerlens.sources.versions import VersionConflict, VersionLog
 
@@ -122,3 +122,31 @@ def test_version_log(spark, tmpdir_path):
     with pytest.raises(VersionConflict):
         VersionLog(spark, f"{tmpdir_path}/log").commit({"a": 3}, 1)
     assert log.latest() == (2, {"a": [2]})
+
+
+def test_an_addition_is_computed_once(spark, tmpdir_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows(), SCHEMA)
+    r = Rollup(spark, f"{tmpdir_path}/r")
+    r.add(df.mapInArrow(count, df.schema))
+    assert seen.value == len(rows())
+    same(Router(df, r).answer("summary"), M.summary(df))
+
+
+def test_days_exchange_no_bitmap_and_broadcast_no_codes(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    codes = spark.createDataFrame([("hot", 0), *[(f"U{j}", 40000 * (j + 1)) for j in range(40)]], "User_ID string, code long")
+    plan = days_of(df, codes)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    above = plan[:plan.index("SortMergeJoin")]
+    assert above.count("Exchange") == 1 and above.index("bitmap_construct_agg") < above.index("Exchange")
+    assert "partial_bitmap_construct_agg" not in above[above.index("Exchange"):]
+    want = df.join(codes, "User_ID", "left").groupBy(F.to_date("Timestamp").alias("day"), F.expr("bitmap_bucket_number(code)").alias("bucket")).agg(
+        F.countDistinct("Location", "Merchant_Category", "Payment_Method").alias("n"))
+    assert days_of(df, codes).select("day", "bucket").distinct().count() == want.count()
